@@ -72,26 +72,23 @@ def time_bucket(column: str, days: int) -> Column:
     return F.floor(F.unix_timestamp(F.col(column).cast("timestamp")) / F.lit(86400 * days))
 
 
-def _stats(df: DataFrame, level: Level, what: Numeric | Categorical, tag: str) -> DataFrame:
-    """One row per group of the level with its statistic and support for one field."""
+def _stats(rows: DataFrame, level: Level, fields: list[Numeric | Categorical], tag: str) -> DataFrame:
+    """One row per group of the level with the statistic and support of every field."""
     keys = [f"_imp_k{i}" for i in range(len(level.keys))]
-    rows = df.select(*(c.alias(k) for k, c in zip(keys, level.exprs())), what.grid().alias("_v")).where(F.col("_v").isNotNull())
-    for k in keys:
-        rows = rows.where(F.col(k).isNotNull())
-    counts = rows.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_n"))
-    if isinstance(what, Numeric):
-        stat = (F.percentile(F.col("_v"), F.lit(0.5), F.col("_n")) * F.lit(what.step)).alias(f"{tag}_value")
-    else:
-        top = F.max("_n")
-        counts = counts.join(counts.groupBy(*keys).agg(top.alias("_top")), keys) if keys else counts.crossJoin(F.broadcast(counts.agg(top.alias("_top"))))
-        best = F.min(F.when(F.col("_n") == F.col("_top"), F.col("_v")))
-        stat = best.alias(f"{tag}_value")
-    stats = counts.groupBy(*keys).agg(stat, F.sum("_n").alias(f"{tag}_n"))
-    return stats.where(F.col(f"{tag}_n") >= level.min_support)
-
-
-def fill_missing(df: DataFrame, fields: list[Numeric | Categorical], levels: dict[str, list[Level]]) -> DataFrame:
-    """df's distinct rows with, for each field f: f_filled, f_was_missing, f_fill_level, f_fill_support."""
+    rows = rows.select(*(c.alias(k) for k, c in zip(keys, level.exprs())), *(w.grid().alias(f"v{i}") for i, w in enumerate(fields))).dropna(subset=keys or None, how="any" if keys else "all")
+    aggs = []
+    for i, w in enumerate(fields):
+        stat = F.percentile(F.col(f"v{i}"), F.lit(0.5)) * F.lit(w.step) if isinstance(w, Numeric) else F.mode(f"v{i}", True)
+        enough = F.count(f"v{i}") >= max(1, level.min_support)
+        aggs.append(F.when(enough, F.struct(stat.alias("value"), F.lit(level.name).alias("level"), F.count(f"v{i}").alias("n"))).alias(f"{tag}_{i}"))
+    return rows.groupBy(*keys).agg(*aggs)
+
+
+def fill_missing(df: DataFrame, fields: list[Numeric | Categorical], levels: list[Level]) -> DataFrame:
+    """df's distinct rows with, for each field f: f_filled, f_was_missing, f_fill_level, f_fill_support.
+
+    All fields of a level share one aggregation and one join.
+    """
     added = [f"{w.name}_{s}" for w in fields for s in ("filled", "was_missing", "fill_level", "fill_support")]
     clash = set(added) & set(df.columns)
     if clash:
@@ -100,34 +97,27 @@ def fill_missing(df: DataFrame, fields: list[Numeric | Categorical], levels: dic
     missing = F.lit(False)
     for w in fields:
         missing = missing | w.valid().isNull()
-    kinds = {w.name: "double" if isinstance(w, Numeric) else "string" for w in fields}
 
-    whole = rows.where(~missing)
-    for w in fields:
-        whole = whole.withColumns({
-            f"{w.name}_filled": w.valid(), f"{w.name}_was_missing": F.lit(False),
-            f"{w.name}_fill_level": F.lit(None).cast("string"), f"{w.name}_fill_support": F.lit(None).cast("long"),
-        })
+    def filled(of: DataFrame, best: list[Column | None]) -> DataFrame:
+        out = {}
+        for w, b in zip(fields, best):
+            gone = w.valid().isNull()
+            pick = lambda part, kind, b=b: F.lit(None).cast(kind) if b is None else b[part].cast(kind)
+            kind = "double" if isinstance(w, Numeric) else "string"
+            out |= {
+                f"{w.name}_filled": F.coalesce(w.valid(), pick("value", kind)), f"{w.name}_was_missing": gone,
+                f"{w.name}_fill_level": F.when(gone, pick("level", "string")), f"{w.name}_fill_support": F.when(gone, pick("n", "long")),
+            }
+        return of.select(*(F.col(f"`{c}`") for c in df.columns), *(c.alias(n) for n, c in out.items()))
 
     gaps = rows.where(missing)
-    for i, w in enumerate(fields):
-        found: list[tuple[str, str]] = []
-        for j, level in enumerate(levels[w.name]):
-            tag = f"_imp_s{i}_{j}"
-            stats = _stats(rows, level, w, tag)
-            if level.keys:
-                on = [F.col(f"_imp_g{k}") == F.col(f"_imp_k{k}") for k in range(len(level.keys))]
-                gaps = gaps.withColumns({f"_imp_g{k}": c for k, c in enumerate(level.exprs())})
-                gaps = gaps.join(stats, on, "left").drop(*(f"_imp_{x}{k}" for x in "gk" for k in range(len(level.keys))))
-            else:  # one row, whatever the input
-                gaps = gaps.join(F.broadcast(stats), F.lit(True), "left")
-            found.append((tag, level.name))
-        first = lambda f: F.coalesce(*(F.when(F.col(f"{t}_value").isNotNull(), f(t, n)) for t, n in found))
-        bad = w.valid().isNull()
-        gaps = gaps.withColumns({
-            f"{w.name}_filled": F.coalesce(w.valid(), first(lambda t, n: F.col(f"{t}_value"))).cast(kinds[w.name]),
-            f"{w.name}_was_missing": bad,
-            f"{w.name}_fill_level": F.when(bad, first(lambda t, n: F.lit(n))),
-            f"{w.name}_fill_support": F.when(bad, first(lambda t, n: F.col(f"{t}_n"))),
-        }).drop(*(f"{t}_{s}" for t, _ in found for s in ("value", "n")))
-    return whole.unionByName(gaps.select(*whole.columns))
+    for j, level in enumerate(levels):
+        stats = _stats(rows, level, fields, f"_imp_s{j}")
+        if level.keys:
+            gaps = gaps.withColumns({f"_imp_g{k}": c for k, c in enumerate(level.exprs())})
+            on = [F.col(f"_imp_g{k}") == F.col(f"_imp_k{k}") for k in range(len(level.keys))]
+            gaps = gaps.join(stats, on, "left").drop(*(f"_imp_{x}{k}" for x in "gk" for k in range(len(level.keys))))
+        else:  # one row, whatever the input
+            gaps = gaps.join(F.broadcast(stats), F.lit(True), "left")
+    best = [F.coalesce(*(F.col(f"_imp_s{j}_{i}") for j in range(len(levels)))) for i in range(len(fields))]
+    return filled(rows.where(~missing), [None] * len(fields)).unionByName(filled(gaps, best))

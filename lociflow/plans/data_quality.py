@@ -23,14 +23,12 @@ def _levels(own: str, when: str, coarse: list[str], days: int) -> list[Level]:
     return [Level(NEAR, {own: F.col(own), "span": time_bucket(when, days)}), Level(OWN, {own: F.col(own)}), *tail, Level("all", {}, 5)]
 
 
-def filled_phenotypes(spark: SparkSession, sf: str) -> DataFrame:
-    levels = _levels("sample_id", "visit_date", ["diagnosis", "cohort"], 180)
-    return fill_missing(table(spark, sf, "phenotypes"), PHENOTYPE_FIELDS, {f.name: levels for f in PHENOTYPE_FIELDS})
+def filled_phenotypes(spark: SparkSession, sf: str, fields: list = PHENOTYPE_FIELDS, depth: int | None = None) -> DataFrame:
+    return fill_missing(table(spark, sf, "phenotypes"), fields, _levels("sample_id", "visit_date", ["diagnosis", "cohort"], 180)[:depth])
 
 
-def filled_constraints(spark: SparkSession, sf: str) -> DataFrame:
-    levels = _levels("transcript", "released_at", ["gene"], 180)
-    return fill_missing(table(spark, sf, "gene_constraints"), CONSTRAINT_FIELDS, {f.name: levels for f in CONSTRAINT_FIELDS})
+def filled_constraints(spark: SparkSession, sf: str, depth: int | None = None) -> DataFrame:
+    return fill_missing(table(spark, sf, "gene_constraints"), CONSTRAINT_FIELDS, _levels("transcript", "released_at", ["gene"], 180)[:depth])
 
 
 def _from_own_group(df: DataFrame, name: str, key: str, fields: list[str]) -> DataFrame:
@@ -58,8 +56,9 @@ WHERE v IS NULL AND transcript IN (SELECT transcript FROM g WHERE v IS NOT NULL
 
 @R.add("p3_found", _FOUND_SQL)
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    people = _from_own_group(filled_phenotypes(spark, sf), "phenotypes", "visit_id", ["iq_score", "age_at_diagnosis"])
-    genes = _from_own_group(filled_constraints(spark, sf), "gene_constraints", "row_id", ["loeuf"])
+    # coarser levels than the record's own group cannot add a case
+    people = _from_own_group(filled_phenotypes(spark, sf, PHENOTYPE_FIELDS[:2], depth=2), "phenotypes", "visit_id", ["iq_score", "age_at_diagnosis"])
+    genes = _from_own_group(filled_constraints(spark, sf, depth=2), "gene_constraints", "row_id", ["loeuf"])
     return people.unionByName(genes).distinct()
 
 

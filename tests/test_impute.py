@@ -9,7 +9,7 @@ LEVELS = [Level("own", {"grp": "grp"}), Level("site", {"site": "site"}, 2), Leve
 
 def run(spark, rows):
     df = spark.createDataFrame(rows, SCHEMA)
-    out = fill_missing(df, [Numeric("v", 0, 10, 0.5), Categorical("c", ("na",))], {"v": LEVELS, "c": LEVELS})
+    out = fill_missing(df, [Numeric("v", 0, 10, 0.5), Categorical("c", ("na",))], LEVELS)
     return {r.id: r for r in out.collect()}
 
 
@@ -45,12 +45,12 @@ def test_empty_and_nothing_to_fill_from(spark):
 def test_clashing_names_are_refused_and_extra_columns_pass(spark):
     df = spark.createDataFrame([(1, "a", "s", 1.0, "x", None)], SCHEMA)
     with pytest.raises(ValueError):
-        fill_missing(df.withColumn("v_filled", F.lit(1)), [Numeric("v", 0, 10)], {"v": LEVELS})
-    out = fill_missing(df.withColumns({"_v": F.lit(7), "_n": F.lit(8), "m": F.lit("e")}), [Numeric("v", 0, 10)], {"v": LEVELS}).first()
+        fill_missing(df.withColumn("v_filled", F.lit(1)), [Numeric("v", 0, 10)], LEVELS)
+    out = fill_missing(df.withColumns({"_v": F.lit(7), "_n": F.lit(8), "m": F.lit("e")}), [Numeric("v", 0, 10)], LEVELS).first()
     assert (out._v, out._n) == (7, 8)
 
 
 def test_a_hot_group_gives_the_exact_median(spark):
     df = spark.range(30_000).select("id", F.lit("hot").alias("grp"), F.lit("s").alias("site"), F.when(F.col("id") % 100 > 0, (F.col("id") % 21) / 2).alias("v"), F.lit("c").alias("c"), F.lit(None).cast("string").alias("note"))
-    out = fill_missing(df, [Numeric("v", 0, 10, 0.5)], {"v": LEVELS})
+    out = fill_missing(df, [Numeric("v", 0, 10, 0.5)], LEVELS)
     assert [tuple(r) for r in out.where("v_was_missing").groupBy("v_filled", "v_fill_level").count().collect()] == [(5.0, "own", 300)]
