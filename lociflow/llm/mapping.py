@@ -25,6 +25,8 @@ import unicodedata
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lociflow.session import cut
+
 UNMATCHED = "UNMATCHED"
 #: Letters of other scripts that look like Latin capitals. Fixed values.
 LOOK_ALIKE = str.maketrans("АВЕЅІЈКМНОРСТУХΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "ABESIJKMHOPCTYXABEZHIKMNOPTYX")
@@ -75,20 +77,22 @@ def match_values(spark: SparkSession, values: DataFrame, keys: DataFrame, k: int
 
     entry is UNMATCHED and distance null for a value that no key is close to. One row per distinct value.
     """
-    named = dict(v=values, l=keys)
     forms = spark.sql(
         f"""SELECT value, plain, CASE WHEN stripped = '' THEN plain ELSE stripped END AS stripped FROM (
               SELECT value, {plain_sql("value")} AS plain, {stripped_sql("value")} AS stripped
               FROM (SELECT DISTINCT value FROM {{v}} WHERE trim(regexp_replace(value, '[\\\\s\\u00a0]', '')) <> ''))""",
         v=values,
     )
-    list_ = spark.sql(f"SELECT p AS name, min(entry) AS entry, max(fuzzy) AS fuzzy FROM (SELECT {plain_sql('key')} AS p, entry, fuzzy FROM {{l}} WHERE entry IS NOT NULL) WHERE p <> '' GROUP BY p", l=named["l"])
+    forms = cut(forms)
+    list_ = spark.sql(f"SELECT p AS name, min(entry) AS entry, max(fuzzy) AS fuzzy FROM (SELECT {plain_sql('key')} AS p, entry, fuzzy FROM {{l}} WHERE entry IS NOT NULL) WHERE p <> '' GROUP BY p", l=keys)
+    list_ = cut(list_)
     equal = spark.sql(
         """SELECT value, min_by(entry, o) AS entry FROM (
              SELECT f.value, x.entry, f.o FROM (SELECT value, plain AS p, 0 AS o FROM {f} UNION ALL SELECT value, stripped, 1 FROM {f} WHERE stripped <> plain) f
              JOIN {x} x ON f.p = x.name) GROUP BY value""",
         f=forms, x=list_,
     )
+    equal = cut(equal)
     rest = spark.sql("SELECT stripped AS s, value FROM {f} f LEFT ANTI JOIN {e} e ON f.value = e.value WHERE stripped <> ''", f=forms, e=equal)
     # segment i of a name of n letters: from i * n div (k+1), the last ends with the name
     segments = spark.sql(
@@ -116,7 +120,7 @@ def match_values(spark: SparkSession, values: DataFrame, keys: DataFrame, k: int
         p=probes, x=segments,
     )
     close = spark.sql("SELECT r.value, n.best.entry AS entry, n.best.d AS distance FROM {r} r JOIN {n} n ON r.s = n.s", r=rest, n=near)
-    found = spark.sql("SELECT value, entry, 0 AS distance FROM {e} UNION ALL SELECT value, entry, distance FROM {c}", e=equal, c=close)
+    found = cut(spark.sql("SELECT value, entry, 0 AS distance FROM {e} UNION ALL SELECT value, entry, distance FROM {c}", e=equal, c=close))
     return spark.sql(
         f"SELECT value, entry, distance FROM {{m}} UNION ALL SELECT f.value, '{UNMATCHED}', cast(null AS INT) FROM {{f}} f LEFT ANTI JOIN {{m}} m ON f.value = m.value",
         m=found, f=forms,
