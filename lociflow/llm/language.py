@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lociflow.llm.sampling import hash_sample
+
 LANGUAGES = ("en", "de", "fr", "es", "it", "pt", "nl", "pl")
 #: Codes and names of each language. Fixed values.
 NAMES = {
@@ -281,7 +283,7 @@ def fit(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text:
     """A model from at most sample_docs labelled documents, the first in hash order."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), label_sql(lang).alias("lang"))
     rows = rows.where("lang IS NOT NULL AND length(text) BETWEEN 20 AND 100000")
-    return train([(r.text, r.lang) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs).collect()])
+    return train([(r.text, r.lang) for r in hash_sample(rows, "doc_id", sample_docs, rows.count()).collect()])
 
 
 def segments(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from lociflow.llm.sampling import hash_sample
 from lociflow.session import cut
 
 DTYPE = "<f4"
@@ -188,7 +189,7 @@ def nearest(units: DataFrame, k: int, dim: int, min_similarity: float | None = N
     empty = spark.createDataFrame([], "id string, other string, sim double, rank int")
     if n == 0:
         return empty
-    sample = classes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("vec").toArrow()
+    sample = hash_sample(classes, "id", sample_rows, n).select("vec").toArrow()
     x = _matrix(sample.column("vec"), dim)
     size = int(min(max(4, round((n / cell_rows) ** 0.5)), 1024, len(x)))
     ca, cb = codebook(x[:, : dim // 2], size), codebook(x[:, dim // 2 :], size)
