@@ -75,13 +75,13 @@ def sized(membership: DataFrame, least: int = 5, most: int = 500) -> DataFrame:
 METHODS = ("weighted_sum", "mean", "max", "median", "top_k_mean", "sqrt_sum")
 
 
-def set_scores(burdens: DataFrame, membership: DataFrame, min_hits: int = 1, top_k: int = 5, methods: tuple[str, ...] = METHODS) -> DataFrame:
+def set_scores(burdens: DataFrame, membership: DataFrame, min_hits: int = 1, top_k: int = 5, methods: tuple[str, ...] = METHODS, least: int = 5, most: int = 500) -> DataFrame:
     """sample_id, pathway_id, set_size, n_hits, genes and one column per method.
 
     A set has a bounded number of genes (sized), so the lists of one sample and set are bounded too. Sums are
     divided by the root of the set's size; every score is multiplied by the root of the share of genes hit.
     """
-    joined = burdens.where("score > 0").join(sized(membership), "gene")
+    joined = burdens.where("score > 0").join(sized(membership, least, most), "gene")
     s, size, hits = F.col("score"), F.first("set_size"), F.count(F.lit(1))
     cover = F.sqrt(hits / size)
     best = F.slice(F.sort_array(F.collect_list("score"), False), 1, top_k)

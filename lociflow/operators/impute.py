@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 
 @dataclass(frozen=True)
@@ -84,6 +85,16 @@ def _stats(rows: DataFrame, level: Level, fields: list[Numeric | Categorical], t
     return rows.groupBy(*keys).agg(*aggs)
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """df.distinct() that also takes map columns, compared by their sorted entries."""
+    maps = [f.name for f in df.schema.fields if isinstance(f.dataType, MapType)]
+    if not maps:
+        return df.distinct()
+    keyed = df.withColumns({f"_imp_m{i}": F.array_sort(F.map_entries(F.col(f"`{c}`"))) for i, c in enumerate(maps)})
+    plain = [c for c in keyed.columns if c not in maps]
+    return keyed.dropDuplicates(plain).drop(*(f"_imp_m{i}" for i in range(len(maps))))
+
+
 def fill_missing(df: DataFrame, fields: list[Numeric | Categorical], levels: list[Level]) -> DataFrame:
     """df's distinct rows with, for each field f: f_filled, f_was_missing, f_fill_level, f_fill_support.
 
@@ -93,7 +104,7 @@ def fill_missing(df: DataFrame, fields: list[Numeric | Categorical], levels: lis
     clash = set(added) & set(df.columns)
     if clash:
         raise ValueError(f"columns already present: {sorted(clash)}")
-    rows = df.distinct()
+    rows = distinct_rows(df)
     missing = F.lit(False)
     for w in fields:
         missing = missing | w.valid().isNull()

@@ -383,7 +383,7 @@ def fit_kmeans(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("fit_gmm")
 def fit_gmm(spark: SparkSession, sf: str) -> DataFrame:
     x = _x(spark, sf)
-    return CF.labels(CF.choose_k(x, range(2, 5)), x)
+    return CF.labels(CF.choose_k(x, range(2, 4), restarts=2), x)
 
 
 @R.add("stability_bootstrap")

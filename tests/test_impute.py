@@ -46,8 +46,8 @@ def test_clashing_names_are_refused_and_extra_columns_pass(spark):
     df = spark.createDataFrame([(1, "a", "s", 1.0, "x", None)], SCHEMA)
     with pytest.raises(ValueError):
         fill_missing(df.withColumn("v_filled", F.lit(1)), [Numeric("v", 0, 10)], LEVELS)
-    out = fill_missing(df.withColumns({"_v": F.lit(7), "_n": F.lit(8), "m": F.lit("e")}), [Numeric("v", 0, 10)], LEVELS).first()
-    assert (out._v, out._n) == (7, 8)
+    out = fill_missing(df.withColumns({"_v": F.lit(7), "_n": F.lit(8), "m": F.create_map(F.lit("k"), F.lit("e"))}), [Numeric("v", 0, 10)], LEVELS).first()
+    assert (out._v, out._n, out.m) == (7, 8, {"k": "e"})
 
 
 def test_a_hot_group_gives_the_exact_median(spark):
