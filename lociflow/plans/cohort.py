@@ -199,9 +199,9 @@ def gene_pli(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "gene_constraints").where("gene IS NOT NULL AND pli IS NOT NULL AND NOT isnan(pli)").groupBy("gene").agg(F.max("pli").alias("pli"))
 
 
-@R.add("burden_constraint", f"WITH {SQL_BURDEN}, {SQL_PLI} SELECT sample_id, gene, round(score * (1 + coalesce(pli, 0)), 6) AS score FROM b LEFT JOIN k USING (gene)")
+@R.add("burden_constraint", f"WITH {SQL_BURDEN}, {SQL_PLI} SELECT sample_id, gene, round(score * (1 + coalesce(pli, 0)), 10) AS score FROM b LEFT JOIN k USING (gene)")
 def burden_constraint(spark: SparkSession, sf: str) -> DataFrame:
-    return B.times_constraint(burdens(spark, sf), gene_pli(spark, sf)).withColumn("score", F.round("score", 6))
+    return B.times_constraint(burdens(spark, sf), gene_pli(spark, sf)).withColumn("score", F.round("score", 10))
 
 
 @R.add("burden_gene_zscore", f"WITH {SQL_BURDEN}, {SQL_SAMPLES}, n AS (SELECT count(*) AS n FROM s), g AS (SELECT gene, sum(score) / any_value(n) AS m, sum(score * score) / any_value(n) AS q FROM b SEMI JOIN s USING (sample_id), n GROUP BY 1) SELECT sample_id, gene, round((score - m) / CASE WHEN q - m * m > 0 THEN sqrt(q - m * m) ELSE 1 END, 6) AS z FROM b SEMI JOIN s USING (sample_id) JOIN g USING (gene)")

@@ -20,6 +20,8 @@ from lociflow.plans.base import Registry
 from lociflow.session import table
 
 R = Registry()
+#: Ten decimals where values are short decimals that six would cut in the middle of a tie.
+r10 = lambda df, *cols: df.withColumns({c: F.round(F.col(c) + 0.0, 10) for c in cols})
 r6 = lambda df, *cols: df.withColumns({c: F.round(F.col(c) + 0.0, 6) for c in cols})
 
 # reference tables -----------------------------------------------------------------------------------------
@@ -95,9 +97,9 @@ def top_genes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "subtype_profiles").select("profile_id", "subtype_id", "top_genes").distinct().select("profile_id", "subtype_id", F.inline("top_genes")).where("gene IS NOT NULL").select("profile_id", "gene", "subtype_id", F.col("importance").alias("value"))
 
 
-@R.add("group_specific_genes", f"WITH {SQL_LONG}, ce AS (SELECT gene, subtype_id, sum(value) AS s, count(value) AS k FROM el GROUP BY 1, 2), ct AS (SELECT gene, sum(s) AS ts, sum(k) AS tk FROM ce GROUP BY 1) SELECT gene, subtype_id, round(s / k, 6) AS here, round((ts - s) / (tk - k), 6) AS elsewhere, round(s / k / ((ts - s) / (tk - k)), 6) AS fold FROM ce JOIN ct USING (gene) WHERE k > 0 AND tk > k AND (ts - s) / (tk - k) > 0 AND s / k / ((ts - s) / (tk - k)) >= 1.2")
+@R.add("group_specific_genes", f"WITH {SQL_LONG}, ce AS (SELECT gene, subtype_id, sum(value) AS s, count(value) AS k FROM el GROUP BY 1, 2), ct AS (SELECT gene, sum(s) AS ts, sum(k) AS tk FROM ce GROUP BY 1) SELECT gene, subtype_id, round(s / k, 10) AS here, round((ts - s) / (tk - k), 10) AS elsewhere, round(s / k / ((ts - s) / (tk - k)), 10) AS fold FROM ce JOIN ct USING (gene) WHERE k > 0 AND tk > k AND (ts - s) / (tk - k) > 0 AND s / k / ((ts - s) / (tk - k)) >= 1.2")
 def group_specific_genes(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(T.specific(top_genes(spark, sf).drop("profile_id"), "subtype_id", 1.2), "here", "elsewhere", "fold")
+    return r10(T.specific(top_genes(spark, sf).drop("profile_id"), "subtype_id", 1.2), "here", "elsewhere", "fold")
 
 
 # graph ----------------------------------------------------------------------------------------------------
@@ -200,7 +202,7 @@ def _heat_sql(matrix: str, k: int, t: float) -> str:
     s = f"lm AS ({matrix}), h0 AS (SELECT node_id, score FROM p0)"
     for i in range(1, k + 1):
         s += f", h{i} AS (SELECT dst AS node_id, {-t / i} * sum(score * w) AS score FROM h{i - 1} JOIN lm ON node_id = src GROUP BY 1)"
-    return s + " SELECT node_id, round(sum(score), 6) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(k + 1)) + ") GROUP BY 1"
+    return s + " SELECT node_id, round(sum(score), 10) AS score FROM (" + " UNION ALL ".join(f"SELECT * FROM h{i}" for i in range(k + 1)) + ") GROUP BY 1"
 
 
 _D = ", dd AS (SELECT src, sum(weight) AS t FROM e2 GROUP BY 1), "
@@ -208,12 +210,12 @@ _D = ", dd AS (SELECT src, sum(weight) AS t FROM e2 GROUP BY 1), "
 
 @R.add("prop_heat", f"{SQL_GRAPH}, {SQL_DISEASE}, {SQL_START}{_D}{_heat_sql('SELECT src, dst, -weight AS w FROM e2 UNION ALL SELECT src, src, t FROM dd', 3, 0.1)}")
 def prop_heat(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(G.diffusion(start(spark, sf), graph(spark, sf)[1]).drop("key"), "score")
+    return r10(G.diffusion(start(spark, sf), graph(spark, sf)[1]).drop("key"), "score")
 
 
 @R.add("prop_insulated", f"{SQL_GRAPH}, {SQL_DISEASE}, {SQL_START}{_D}{_heat_sql('SELECT e2.src, e2.dst, -weight / sqrt(a.t * b.t) AS w FROM e2 JOIN dd a ON a.src = e2.src JOIN dd b ON b.src = e2.dst UNION ALL SELECT src, src, 1.0 FROM dd', 3, 0.1)}")
 def prop_insulated(spark: SparkSession, sf: str) -> DataFrame:
-    return r6(G.diffusion(start(spark, sf), graph(spark, sf)[1], normalised=True).drop("key"), "score")
+    return r10(G.diffusion(start(spark, sf), graph(spark, sf)[1], normalised=True).drop("key"), "score")
 
 
 @R.add("prop_converged")
