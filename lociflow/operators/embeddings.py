@@ -79,3 +79,66 @@ def classification_metrics(df: DataFrame, label: str, predicted: str) -> DataFra
     safe = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
     p, r = safe(tp, tp + fp), safe(tp, tp + fn)
     return df.agg(n.alias("n"), tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), p.alias("precision"), r.alias("recall"), safe(2 * p * r, p + r).alias("f1"), safe(n - fp - fn, n).alias("accuracy"))
+
+
+def auc(scored: DataFrame) -> DataFrame:
+    """Area under the curve of score for a boolean label by the rank sum, ties counting half; ranks from value counts."""
+    from pyspark.sql.window import Window
+
+    c = scored.groupBy("score").agg(F.count_if("label").cast("double").alias("p"), F.count_if(~F.col("label")).cast("double").alias("q"))
+    c = c.withColumn("below", F.sum("q").over(Window.orderBy("score")) - F.col("q"))
+    return c.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("q") / 2)), F.sum("p") * F.sum("q")).alias("auc"))
+
+
+def message_pass(vectors: DataFrame, edges: DataFrame, dim: int, keep: float = 0.5) -> DataFrame:
+    """id, v: each vector mixed with the weighted mean of its neighbours' (edges src, dst, weight). One shuffle by
+    target with partial sums, so a hub's messages are added up before they meet."""
+    j = edges.join(vectors.select(F.col("id").alias("src"), "v"), "src")
+    w = F.sum("weight")
+    mean = j.groupBy("dst").agg(F.array(*(F.sum(F.col("v")[i] * F.col("weight")) / w for i in range(dim))).alias("m"))
+    return vectors.join(mean, F.col("id") == F.col("dst"), "left").select("id", F.when(F.col("m").isNull(), F.col("v")).otherwise(F.zip_with("v", "m", lambda x, y: keep * x + (1 - keep) * y)).alias("v"))
+
+
+def propagate_up(vectors: DataFrame, parents: DataFrame, dim: int, levels: int = 2) -> DataFrame:
+    """Children's mean mixed into their parents (child, parent), level by level."""
+    up = parents.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit(1.0).alias("weight"))
+    for _ in range(levels):
+        vectors = message_pass(vectors, up, dim)
+    return vectors
+
+
+def train_translation(triples: DataFrame, configs: list[dict], most_triples: int = 200_000) -> DataFrame:
+    """config, node_id, v: translation embeddings of (head, relation, tail), one task per configuration.
+
+    Training is sequential, so it runs on a bounded sample of the triples (most_triples, by hash); configurations
+    (dim, epochs, rate, margin, seed) run side by side.
+    """
+    import numpy as np
+    import pandas as pd
+
+    spark = triples.sparkSession
+    share = min(1.0, most_triples / max(1, triples.count()))
+    part = triples.where(F.pmod(F.xxhash64("head", "relation", "tail"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    grid = spark.createDataFrame([(i, str(c)) for i, c in enumerate(configs)], "config int, _c string")
+
+    def train(key, f: pd.DataFrame) -> pd.DataFrame:
+        c = {"dim": 16, "epochs": 20, "rate": 0.05, "margin": 1.0, "seed": 42} | configs[int(key[0])]
+        f = f.sort_values(["head", "relation", "tail"])
+        nodes = sorted(set(f["head"]) | set(f["tail"]))
+        at, rel = {n: i for i, n in enumerate(nodes)}, {r: i for i, r in enumerate(sorted(set(f["relation"])))}
+        rng = np.random.default_rng(c["seed"])
+        e, r = rng.normal(size=(len(nodes), c["dim"])), rng.normal(size=(len(rel), c["dim"])) * 0.1
+        e /= np.linalg.norm(e, axis=1, keepdims=True)
+        h, t, k = (np.array([m[x] for x in f[col]]) for m, col in ((at, "head"), (at, "tail"), (rel, "relation")))
+        for _ in range(c["epochs"]):
+            fake = rng.integers(0, len(nodes), len(t))
+            d, g = e[h] + r[k] - e[t], e[h] + r[k] - e[fake]
+            on = (c["margin"] + np.linalg.norm(d, axis=1) - np.linalg.norm(g, axis=1) > 0)[:, None]
+            du, gu = (on * x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9) for x in (d, g))
+            for where, step in ((h, gu - du), (t, du), (fake, -gu)):
+                np.add.at(e, where, c["rate"] * step)
+            np.add.at(r, k, c["rate"] * (gu - du))
+            e /= np.linalg.norm(e, axis=1, keepdims=True)
+        return pd.DataFrame({"config": key[0], "node_id": nodes, "v": list(e)})
+
+    return grid.join(part, how="cross").groupBy("config").applyInPandas(train, "config int, node_id string, v array<double>")

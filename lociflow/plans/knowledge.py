@@ -555,3 +555,49 @@ def scm_backdoor(spark: SparkSession, sf: str) -> DataFrame:
     """The single nodes that close every backdoor between a variant and the phenotype."""
     sets = C.Graph(C.example(spark)).adjustment_sets("SHANK3_variant", "asd_phenotype")
     return spark.createDataFrame([(n,) for s in sets for n in sorted(s)], "adjust_for string")
+
+
+# hashed vectors, messages, tails --------------------------------------------------------------------------
+
+
+@R.add("vec_hashed_genes")
+def vec_hashed_genes(spark: SparkSession, sf: str) -> DataFrame:
+    from lociflow.functions.hashed import hash_vector
+
+    return table(spark, sf, "gene_info").select("symbol", hash_vector(F.upper("symbol"), 32).alias("v"))
+
+
+@R.add("substitution_score", "WITH r AS (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS a), g AS (SELECT a, CASE WHEN contains('AVILMFWP', a) THEN 'h' WHEN contains('STNQYCG', a) THEN 'p' WHEN contains('KRH', a) THEN '+' ELSE '-' END AS g FROM r) SELECT x.a AS ref, y.a AS alt, CASE WHEN x.a = y.a THEN 0 WHEN x.g = y.g THEN 0.3 WHEN x.g IN ('+', '-') OR y.g IN ('+', '-') THEN 0.7 ELSE 0.5 END::DOUBLE AS score FROM g x, g y")
+def substitution_score(spark: SparkSession, sf: str) -> DataFrame:
+    """The 20 x 20 residues."""
+    from lociflow.functions.hashed import RESIDUES, substitution_score as score
+
+    r = spark.createDataFrame([(x, list(RESIDUES)) for x in RESIDUES], "ref string, alts array<string>").select("ref", F.explode("alts").alias("alt"))
+    return r.select("ref", "alt", score(F.col("ref"), F.col("alt")).cast("double").alias("score"))
+
+
+@R.add("gnn_message_pass")
+def gnn_message_pass(spark: SparkSession, sf: str) -> DataFrame:
+    v = vec_hashed_genes(spark, sf).select(F.col("symbol").alias("id"), "v")
+    return E.message_pass(v, G.both_ways(graph(spark, sf)[1]), 32)
+
+
+@R.add("link_auc", f"WITH {Q.SQL_ANNOTATED}, x AS (SELECT is_lof AS l, cadd AS s FROM a WHERE cadd IS NOT NULL), k AS (SELECT l, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2 AS r FROM x) SELECT round((sum(r) FILTER (l) - count_if(l) * (count_if(l) + 1) / 2) / (count_if(l)::DOUBLE * count_if(NOT l)), 6) AS auc FROM k")
+def link_auc(spark: SparkSession, sf: str) -> DataFrame:
+    return r6(E.auc(Q.annotated(spark, sf).where("cadd IS NOT NULL").select(F.col("cadd").alias("score"), F.col("is_lof").alias("label"))), "auc")
+
+
+@R.add("clu_pvalues")
+def clu_pvalues(spark: SparkSession, sf: str) -> DataFrame:
+    """Signatures with the probability of their t and their false discovery rate."""
+    from lociflow.functions.tails import student_p
+
+    long = people(spark, sf).where("planted_subtype IS NOT NULL").select(F.col("planted_subtype").alias("label"), F.inline(F.array(F.struct(F.lit("iq").alias("feature"), F.col("iq").alias("value")), F.struct(F.lit("age").alias("feature"), F.col("age").alias("value"))))).where("value IS NOT NULL")
+    s = CS.signatures(long).withColumn("p_value", student_p(F.col("welch_t"), F.col("n") - 1)).withColumn("key", F.concat_ws(":", "label", "feature"))
+    return CS.benjamini_hochberg(s.where("p_value IS NOT NULL").select("key", "p_value"))
+
+
+@R.add("train_translation")
+def train_translation(spark: SparkSession, sf: str) -> DataFrame:
+    member = Q.membership(spark, sf).select(F.col("gene").alias("head"), F.lit("member_of").alias("relation"), F.col("pathway_id").alias("tail"))
+    return E.train_translation(member, [{"dim": 8}, {"dim": 16, "rate": 0.1}])
