@@ -56,20 +56,50 @@ def _spell_greek(column: str) -> str:
     return column
 
 
-def plain_sql(column: str) -> str:
-    return f"regexp_replace({_translate(f'upper({_spell_greek(column)})')}, '[^A-Z0-9]', '')"
+def _swap(x: str, pattern: str, by: str, duck: bool) -> str:
+    """regexp_replace of all matches, in Spark's or DuckDB's spelling; a group in by is written $1."""
+    if duck:
+        return f"regexp_replace({x}, '{pattern}', '{by.replace('$', chr(92))}', 'g')"
+    return f"regexp_replace({x}, '{pattern.replace(chr(92), chr(92) * 2)}', '{by}')"
 
 
-def stripped_sql(column: str) -> str:
+def plain_sql(column: str, duck: bool = False) -> str:
+    return _swap(_translate(f"upper({_spell_greek(column)})"), "[^A-Z0-9]", "", duck)
+
+
+def stripped_sql(column: str, duck: bool = False) -> str:
     """The text without labels, remarks in brackets, footnote marks and version numbers, in plain form."""
-    x = _translate(f"upper({_spell_greek(column)})")
     before, after = "|".join(LABELS_BEFORE).upper(), "|".join(LABELS_AFTER).upper()
-    x = f"regexp_replace({x}, '[(][^()A-Z0-9]*[)]|[(](?:{after})[)]', ' ')"
-    x = f"regexp_replace({x}, '\\\\^[0-9]+\\\\s*$', '')"
-    x = f"regexp_replace({x}, '^[^A-Z0-9]*(?:{before})(?:\\\\s*:\\\\s*|\\\\s+)', '')"
-    x = f"regexp_replace({x}, '(?:_|\\\\s+)(?:{after})[^A-Z0-9]*$', '')"
-    x = f"regexp_replace({x}, '^([^A-Z0-9]*ENS[A-Z]*[0-9]+)[.][0-9]+[^A-Z0-9]*$', '$1')"
-    return f"regexp_replace({x}, '[^A-Z0-9]', '')"
+    x = _translate(f"upper({_spell_greek(column)})")
+    for pattern, by in (
+        (rf"[(][^()A-Z0-9]*[)]|[(](?:{after})[)]", " "),
+        (r"\^[0-9]+\s*$", ""),
+        (rf"^[^A-Z0-9]*(?:{before})(?:\s*:\s*|\s+)", ""),
+        (rf"(?:_|\s+)(?:{after})[^A-Z0-9]*$", ""),
+        (r"^([^A-Z0-9]*ENS[A-Z]*[0-9]+)[.][0-9]+[^A-Z0-9]*$", "$1"),
+        ("[^A-Z0-9]", ""),
+    ):
+        x = _swap(x, pattern, by, duck)
+    return x
+
+
+def brute_force_sql(values: str, keys: str, k: int = 2) -> str:
+    """DuckDB: (value, entry) of the distinct values by comparing each with every key; what match_values must give."""
+    return f"""
+        SELECT value, coalesce(arg_min(e.entry, e.o), any_value(n.entry), '{UNMATCHED}') AS entry FROM (
+            SELECT value, plain, CASE WHEN stripped = '' THEN plain ELSE stripped END AS stripped FROM (
+                SELECT value, {plain_sql("value", True)} AS plain, {stripped_sql("value", True)} AS stripped FROM (SELECT DISTINCT value FROM {values}))) f
+        LEFT JOIN (
+            SELECT p AS name, min(entry) AS entry, o FROM (SELECT {plain_sql("key", True)} AS p, entry, o FROM {keys}, (SELECT unnest([0, 1]) AS o) WHERE entry IS NOT NULL AND key IS NOT NULL) WHERE p <> '' GROUP BY ALL
+        ) e ON e.name = CASE e.o WHEN 0 THEN f.plain ELSE f.stripped END
+        LEFT JOIN (
+            SELECT s, arg_min(entry, (d, entry)) AS entry FROM (
+                SELECT s, x.entry, CASE WHEN damerau_levenshtein(s, name) = 1 THEN 1 ELSE levenshtein(s, name) END AS d
+                FROM (SELECT DISTINCT CASE WHEN stripped = '' THEN plain ELSE stripped END AS s FROM (SELECT {plain_sql("value", True)} AS plain, {stripped_sql("value", True)} AS stripped FROM (SELECT DISTINCT value FROM {values})))
+                JOIN (SELECT {plain_sql("key", True)} AS name, min(entry) AS entry FROM {keys} WHERE fuzzy AND entry IS NOT NULL GROUP BY 1) x
+                ON length(name) > {k} AND abs(length(s) - length(name)) <= {k} AND levenshtein(s, name) <= {k}) GROUP BY 1
+        ) n ON n.s = f.stripped
+        GROUP BY value"""
 
 
 def match_values(spark: SparkSession, values: DataFrame, keys: DataFrame, k: int = 2) -> DataFrame:
