@@ -246,6 +246,8 @@ class Scorer:
         if not ws:
             return []
         e = np.array([self.word(w)[0] for w, _, _ in ws])
+        if self._one_language(e):
+            return self._named(ws, np.full(len(ws), e.sum(0).argmax()))
         back = np.zeros(e.shape, np.int16)
         best, own = e[0].copy(), np.arange(e.shape[1])
         for i in range(1, len(ws)):
@@ -258,6 +260,16 @@ class Scorer:
         path[-1] = best.argmax()
         for i in range(len(ws) - 1, 0, -1):
             path[i - 1] = back[i][path[i]]
+        return self._named(ws, path)
+
+    def _one_language(self, e: np.ndarray) -> bool:
+        """No stretch of words speaks for another language than the whole text's by half a change's cost, so that no
+        sequence with changes can be better than one without."""
+        c = np.cumsum(e - e[:, [e.sum(0).argmax()]], axis=0)
+        c = np.vstack([np.zeros((1, c.shape[1])), c])
+        return bool((c - np.minimum.accumulate(c, axis=0)).max() < min(self.between, self.inside) / 2)
+
+    def _named(self, ws: list[tuple[str, bool, int]], path: np.ndarray) -> list[tuple[str, float, int, int]]:
         runs: list[tuple[int, int, int]] = []  # language, first, end
         for a, b in self._cuts(path):  # what a run's n-grams say together counts more than its words one by one
             lang = int(self._sum(ws[a:b]).argmax())

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm.language import fit, label_sql, segments
+from lociflow.llm.sampling import spread
 from lociflow.plans.base import Registry
 from lociflow.session import table
 
@@ -15,7 +16,7 @@ RUN = 9  # words that make a language one of the document's
 
 def _segments(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     docs = table(spark, sf, "documents")
-    return docs, segments(docs, fit(docs))
+    return docs, segments(spread(docs.select("doc_id", "text")), fit(docs))
 
 
 @R.add("p8_found")

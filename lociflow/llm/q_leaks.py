@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm.leaks import find_leaks, without_leaks
+from lociflow.llm.sampling import spread
 from lociflow.plans.base import Registry
 from lociflow.session import table
 
@@ -13,7 +14,7 @@ R = Registry()
 
 
 def _leaks(spark: SparkSession, sf: str) -> DataFrame:
-    return find_leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+    return find_leaks(spread(table(spark, sf, "documents").select("doc_id", "text")), table(spark, sf, "eval_items"))
 
 
 @R.add("p7_found")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lociflow.llm.packing import pack_all
+from lociflow.llm.sampling import spread
 from lociflow.plans.base import Registry
 from lociflow.session import table
 
@@ -19,7 +20,7 @@ def _capacities(spark: SparkSession, sf: str) -> dict[str, int]:
 @R.add("p6_containers")
 def p6_containers(spark: SparkSession, sf: str) -> DataFrame:
     """Every piece of every document with its container, for each capacity."""
-    return pack_all(table(spark, sf, "documents"), _capacities(spark, sf))
+    return pack_all(spread(table(spark, sf, "documents").select("doc_id", "text")), _capacities(spark, sf))
 
 
 @R.add("p6_fill")

@@ -16,3 +16,10 @@ def hash_sample(df: DataFrame, id_col: str, rows: int, total: int) -> DataFrame:
     share = min(1.0, (rows + 6 * rows**0.5 + 10) / max(total, 1))
     near = df.where(F.pmod(F.xxhash64(id_col), F.lit(span)) < int(share * span)) if share < 1 else df
     return near.orderBy(F.pmod(F.xxhash64(id_col), F.lit(span)), id_col).limit(rows)
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """A scan over at least as many partitions as there are cores, for work that costs more than reading: one small
+    file would otherwise be one task. Scans with enough partitions are left as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
