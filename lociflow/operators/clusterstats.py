@@ -68,6 +68,30 @@ def agreement(two: DataFrame) -> DataFrame:
     return x.crossJoin(y).crossJoin(z).select(ari.alias("ari"), nmi.alias("nmi"), "purity")
 
 
+def counts_agreement(table) -> tuple[float, float]:
+    """Adjusted Rand index and normalised mutual information of a table of counts, as in agreement."""
+    import numpy as np
+
+    t = np.asarray(table, dtype=float)
+    a, b, n = t.sum(1), t.sum(0), t.sum()
+    pairs = lambda x: (x * (x - 1) / 2).sum()
+    h = lambda x: -(x[x > 0] / n * np.log(x[x > 0] / n)).sum()
+    chance, half = pairs(a) * pairs(b) / max(pairs(n), 1.0), (pairs(a) + pairs(b)) / 2
+    ha, hb = h(a), h(b)
+    ari = float((pairs(t) - chance) / (half - chance)) if half != chance else 1.0
+    return ari, float((ha + hb - h(t)) / ((ha + hb) / 2)) if ha + hb > 0 else 1.0
+
+
+def table_agreement(two: DataFrame) -> tuple[float, float]:
+    """The same of the labels a and b of rows, by one job: their table has as many cells as there are pairs of labels."""
+    cells = two.groupBy("a", "b").count().collect()
+    rows, cols = ({v: i for i, v in enumerate(sorted({r[c] for r in cells}))} for c in ("a", "b"))
+    table = [[0] * len(cols) for _ in rows]
+    for r in cells:
+        table[rows[r["a"]]][cols[r["b"]]] = r["count"]
+    return counts_agreement(table)
+
+
 def signatures(long: DataFrame) -> DataFrame:
     """long (label, feature, value): each cluster against the rest by mean, fold change, Welch t and Cohen d."""
     one = long.groupBy("label", "feature").agg(F.count("value").alias("n"), F.sum("value").alias("s"), F.sum(F.col("value") * F.col("value")).alias("q"))

@@ -12,12 +12,15 @@ from lociflow.operators import clusterfit as CF
 from lociflow.operators import clusterstats as CS
 from lociflow.operators import embeddings as E
 from lociflow.operators import graph as G
+from lociflow.operators import normalize as N
 from lociflow.operators import ranking as K
 from lociflow.operators import reference as T
 from lociflow.operators import rules as RU
+from lociflow.operators.gates import run_all
 from lociflow.plans import cohort as Q
 from lociflow.plans.base import Registry
-from lociflow.session import table
+from lociflow.session import keep, table
+from lociflow.sources.tables import wide
 
 R = Registry()
 #: Ten decimals where values are short decimals that six would cut in the middle of a tie.
@@ -393,6 +396,18 @@ def stability_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
     return CF.stability(_x(spark, sf), 4, 3).withColumn("rating", CS.rating(F.col("ari")))
 
 
+@R.add("gates")
+def gates(spark: SparkSession, sf: str) -> DataFrame:
+    """The three validation gates of the cohort's clusters, with the reference's 100, 100 and 50 runs and k from 2 to 8."""
+    b, m = keep(Q.burdens(spark, sf)), Q.membership(spark, sf)
+    sizes = {r.pathway_id: r.set_size for r in B.sized(m).select("pathway_id", "set_size").distinct().collect()}  # a dimension
+    sets = sorted(sizes)
+    z = wide(N.zscore(Q.dense_scores(spark, sf)), sets)
+    x = keep(CF.features(keep(z.select(F.col("sample_id").alias("id"), F.array(*(F.col(f"`{p}`") for p in sets)).alias("v"))), len(sets)))
+    model = CF.choose_k(x, range(2, 9))
+    return spark.createDataFrame(run_all(x, keep(CF.labels(model, x)), model.summary.k, b, sizes), "gate string, ari double, runs int, bound double, passed boolean")
+
+
 # rules, combination, ranking ------------------------------------------------------------------------------
 
 RULES = [
