@@ -376,7 +376,7 @@ def perm_pvalue(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _x(spark: SparkSession, sf: str) -> DataFrame:
-    return CF.features(vectors(spark, sf).select("id", F.slice("v", 1, 8).alias("v")), 8)
+    return keep(CF.features(vectors(spark, sf).select("id", "v"), DIM))
 
 
 @R.add("fit_kmeans")
@@ -388,12 +388,12 @@ def fit_kmeans(spark: SparkSession, sf: str) -> DataFrame:
 @R.add("fit_gmm")
 def fit_gmm(spark: SparkSession, sf: str) -> DataFrame:
     x = _x(spark, sf)
-    return CF.labels(CF.choose_k(x, range(2, 4), restarts=2), x)
+    return CF.labels(CF.choose_k(x, range(2, 11)), x)  # k from 2 to 10, 10 starts: the reference's defaults
 
 
 @R.add("stability_bootstrap")
 def stability_bootstrap(spark: SparkSession, sf: str) -> DataFrame:
-    return CF.stability(_x(spark, sf), 4, 3).withColumn("rating", CS.rating(F.col("ari")))
+    return CF.stability(_x(spark, sf), 4).withColumn("rating", CS.rating(F.col("ari")))
 
 
 @R.add("gates")
