@@ -58,14 +58,21 @@ class Categorical:
 
 @dataclass(frozen=True)
 class Level:
-    """name: what is stored; keys: name -> column, or expression, of the group; min_support: valid values needed."""
+    """name: what is stored; keys: name -> column, or expression, of the group; min_support: valid values needed;
+    near: a timestamp column and a number of days: only records of the group at most so far from the record itself."""
 
     name: str
     keys: dict[str, Column | str] = field(default_factory=dict)
     min_support: int = 1
+    near: tuple[str, int] | None = None
 
     def exprs(self) -> list[Column]:
-        return [F.col(c) if isinstance(c, str) else c for c in self.keys.values()]
+        at = [micros(self.near[0])] if self.near else []
+        return [F.col(c) if isinstance(c, str) else c for c in self.keys.values()] + at
+
+
+def micros(column: str) -> Column:
+    return F.unix_micros(F.col(column).cast("timestamp"))
 
 
 def time_bucket(column: str, days: int) -> Column:
@@ -77,12 +84,31 @@ def _stats(rows: DataFrame, level: Level, fields: list[Numeric | Categorical], t
     """One row per group of the level with the statistic and support of every field."""
     keys = [f"_imp_k{i}" for i in range(len(level.keys))]
     rows = rows.select(*(c.alias(k) for k, c in zip(keys, level.exprs())), *(w.grid().alias(f"v{i}") for i, w in enumerate(fields))).dropna(subset=keys or None, how="any" if keys else "all")
+    return rows.groupBy(*keys).agg(*_aggs(level, fields, tag))
+
+
+def _aggs(level: Level, fields: list[Numeric | Categorical], tag: str) -> list[Column]:
     aggs = []
     for i, w in enumerate(fields):
         stat = F.percentile(F.col(f"v{i}"), F.lit(0.5)) * F.lit(w.step) if isinstance(w, Numeric) else F.mode(f"v{i}", True)
         enough = F.count(f"v{i}") >= max(1, level.min_support)
         aggs.append(F.when(enough, F.struct(stat.alias("value"), F.lit(level.name).alias("level"), F.count(f"v{i}").alias("n"))).alias(f"{tag}_{i}"))
-    return rows.groupBy(*keys).agg(*aggs)
+    return aggs
+
+
+def _near_stats(rows: DataFrame, gaps: DataFrame, level: Level, fields: list[Numeric | Categorical], tag: str) -> DataFrame:
+    """As _stats, one row per group and time of a gap, over the group's records at most level.near[1] days away.
+
+    A gap meets its own and the two neighbouring spans of its group, which hold all that is near.
+    """
+    keys = [f"_imp_k{i}" for i in range(len(level.keys))]
+    at, span = f"_imp_k{len(keys)}", 86_400_000_000 * level.near[1]
+    named = [c.alias(k) for k, c in zip([*keys, at], level.exprs())]
+    asked = gaps.select(*named).dropna().distinct().withColumn("b", F.explode(F.array(*(F.floor(F.col(at) / span) + i for i in (-1, 0, 1)))))
+    have = rows.select(*named, *(w.grid().alias(f"v{i}") for i, w in enumerate(fields))).dropna(subset=[*keys, at]).dropna(how="all", subset=[f"v{i}" for i in range(len(fields))])
+    have = have.withColumn("b", F.floor(F.col(at) / span)).withColumnRenamed(at, "u")
+    near = asked.join(have, [*keys, "b"]).where(F.abs(F.col(at) - F.col("u")) <= span)
+    return near.groupBy(*keys, at).agg(*_aggs(level, fields, tag))
 
 
 def distinct_rows(df: DataFrame) -> DataFrame:
@@ -123,11 +149,11 @@ def fill_missing(df: DataFrame, fields: list[Numeric | Categorical], levels: lis
 
     gaps = rows.where(missing)
     for j, level in enumerate(levels):
-        stats = _stats(rows, level, fields, f"_imp_s{j}")
-        if level.keys:
+        stats = _near_stats(rows, rows.where(missing), level, fields, f"_imp_s{j}") if level.near else _stats(rows, level, fields, f"_imp_s{j}")
+        if n := len(level.exprs()):
             gaps = gaps.withColumns({f"_imp_g{k}": c for k, c in enumerate(level.exprs())})
-            on = [F.col(f"_imp_g{k}") == F.col(f"_imp_k{k}") for k in range(len(level.keys))]
-            gaps = gaps.join(stats, on, "left").drop(*(f"_imp_{x}{k}" for x in "gk" for k in range(len(level.keys))))
+            on = [F.col(f"_imp_g{k}") == F.col(f"_imp_k{k}") for k in range(n)]
+            gaps = gaps.join(stats, on, "left").drop(*(f"_imp_{x}{k}" for x in "gk" for k in range(n)))
         else:  # one row, whatever the input
             gaps = gaps.join(F.broadcast(stats), F.lit(True), "left")
     best = [F.coalesce(*(F.col(f"_imp_s{j}_{i}") for j in range(len(levels)))) for i in range(len(fields))]

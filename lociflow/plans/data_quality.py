@@ -17,18 +17,19 @@ PHENOTYPE_FIELDS = [Numeric("iq_score", 30, 170, 1), Numeric("age_at_diagnosis",
 CONSTRAINT_FIELDS = [Numeric("loeuf", 0, 3, 0.001)]
 
 
-def _levels(own: str, when: str, coarse: list[str], days: int) -> list[Level]:
-    """Same group within a span of days, same group, then ever shorter lists of the coarse columns, then all rows."""
+def _levels(own: str, when: str, coarse: list[str], days: int, spans: bool = False) -> list[Level]:
+    """Same group within so many days (spans: in the same span of the calendar), same group, then ever shorter lists of the coarse columns, then all rows."""
     tail = [Level("+".join(coarse[: len(coarse) - i]), {c: F.col(c) for c in coarse[: len(coarse) - i]}, 5) for i in range(len(coarse))]
-    return [Level(NEAR, {own: F.col(own), "span": time_bucket(when, days)}), Level(OWN, {own: F.col(own)}), *tail, Level("all", {}, 5)]
+    finest = Level(NEAR, {own: F.col(own), "span": time_bucket(when, days)}) if spans else Level(NEAR, {own: F.col(own)}, near=(when, days))
+    return [finest, Level(OWN, {own: F.col(own)}), *tail, Level("all", {}, 5)]
 
 
-def filled_phenotypes(spark: SparkSession, sf: str, fields: list = PHENOTYPE_FIELDS, depth: int | None = None) -> DataFrame:
-    return fill_missing(table(spark, sf, "phenotypes"), fields, _levels("sample_id", "visit_date", ["diagnosis", "cohort"], 180)[:depth])
+def filled_phenotypes(spark: SparkSession, sf: str, fields: list = PHENOTYPE_FIELDS, depth: int | None = None, spans: bool = False) -> DataFrame:
+    return fill_missing(table(spark, sf, "phenotypes"), fields, _levels("sample_id", "visit_date", ["diagnosis", "cohort"], 180, spans)[:depth])
 
 
-def filled_constraints(spark: SparkSession, sf: str, depth: int | None = None) -> DataFrame:
-    return fill_missing(table(spark, sf, "gene_constraints"), CONSTRAINT_FIELDS, _levels("transcript", "released_at", ["gene"], 180)[:depth])
+def filled_constraints(spark: SparkSession, sf: str, depth: int | None = None, spans: bool = False) -> DataFrame:
+    return fill_missing(table(spark, sf, "gene_constraints"), CONSTRAINT_FIELDS, _levels("transcript", "released_at", ["gene"], 180, spans)[:depth])
 
 
 def _from_own_group(df: DataFrame, name: str, key: str, fields: list[str]) -> DataFrame:
@@ -62,8 +63,8 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return people.unionByName(genes).distinct()
 
 
-def _fill_sql(table_name: str, key: str, field: str, low: float, high: float, step: float, own: str, when: str, coarse: list[str]) -> str:
-    """The hierarchy of one numeric field, each level as a grouped median."""
+def _fill_sql(table_name: str, key: str, field: str, low: float, high: float, step: float, own: str, when: str, coarse: list[str], spans: bool = True) -> str:
+    """The hierarchy of one numeric field, each level as a grouped median; without spans the finest by distance in time."""
     chains = [(NEAR, [own, "span"], 1), (OWN, [own], 1), *(("+".join(c), c, 5) for c in (coarse[: len(coarse) - i] for i in range(len(coarse))))]
     ctes, joins, values, names, ns = [], [], [], [], []
     for i, (name, keys, least) in enumerate(chains):
@@ -73,6 +74,9 @@ def _fill_sql(table_name: str, key: str, field: str, low: float, high: float, st
         values.append(f"l{i}.m")
         names.append(f"CASE WHEN l{i}.m IS NOT NULL THEN '{name}' END")
         ns.append(f"l{i}.n")
+    if not spans:
+        ctes[0] = f"l0 AS (SELECT a.{own}, a.at, median(t.v) AS m, count(t.v) AS n FROM (SELECT DISTINCT {own}, epoch_us({when}) AS at FROM t WHERE v IS NULL) a JOIN t ON t.{own} = a.{own} AND t.v IS NOT NULL AND abs(epoch_us(t.{when}) - a.at) <= {86_400_000_000 * 180} GROUP BY 1, 2)"
+        joins[0] = f"LEFT JOIN l0 ON t.{own} = l0.{own} AND epoch_us(t.{when}) = l0.at"
     ctes.append("la AS (SELECT median(v) AS m, count(v) AS n FROM t WHERE v IS NOT NULL HAVING count(v) >= 5)")
     return f"""
 WITH t AS (SELECT *, floor(epoch({when}) / {86400 * 180}) AS span,
@@ -91,17 +95,30 @@ def _one_field(df: DataFrame, key: str, f: str) -> DataFrame:
 
 @R.add("p3_filled_iq", _fill_sql("phenotypes", "visit_id", "iq_score", 30, 170, 1, "sample_id", "visit_date", ["diagnosis", "cohort"]))
 def p3_filled_iq(spark: SparkSession, sf: str) -> DataFrame:
-    return _one_field(filled_phenotypes(spark, sf), "visit_id", "iq_score")
+    return _one_field(filled_phenotypes(spark, sf, spans=True), "visit_id", "iq_score")
 
 
 @R.add("p3_filled_age", _fill_sql("phenotypes", "visit_id", "age_at_diagnosis", 0, 60, 0.1, "sample_id", "visit_date", ["diagnosis", "cohort"]))
 def p3_filled_age(spark: SparkSession, sf: str) -> DataFrame:
-    return _one_field(filled_phenotypes(spark, sf), "visit_id", "age_at_diagnosis")
+    return _one_field(filled_phenotypes(spark, sf, spans=True), "visit_id", "age_at_diagnosis")
 
 
 @R.add("p3_filled_loeuf", _fill_sql("gene_constraints", "row_id", "loeuf", 0, 3, 0.001, "transcript", "released_at", ["gene"]))
 def p3_filled_loeuf(spark: SparkSession, sf: str) -> DataFrame:
-    return _one_field(filled_constraints(spark, sf), "row_id", "loeuf")
+    return _one_field(filled_constraints(spark, sf, spans=True), "row_id", "loeuf")
+
+
+def _near(name: str, filled, key: str, field: str, *rest) -> None:
+    """The same with the finest level by distance in time, as p3_found has it; the SQL of p3_filled_* is by calendar spans."""
+
+    @R.add(f"p3_near_{name}", _fill_sql("phenotypes" if key == "visit_id" else "gene_constraints", key, field, *rest, spans=False))
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        return _one_field(filled(spark, sf), key, field)
+
+
+_near("iq", filled_phenotypes, "visit_id", "iq_score", 30, 170, 1, "sample_id", "visit_date", ["diagnosis", "cohort"])
+_near("age", filled_phenotypes, "visit_id", "age_at_diagnosis", 0, 60, 0.1, "sample_id", "visit_date", ["diagnosis", "cohort"])
+_near("loeuf", filled_constraints, "row_id", "loeuf", 0, 3, 0.001, "transcript", "released_at", ["gene"])
 
 
 @R.add("p3_filled_sex")
