@@ -301,6 +301,8 @@ _norm("percentile", N.percentile, _SEL.format("100 * cume_dist() OVER (PARTITION
 _norm("log", N.log, ", lo AS (SELECT least(min(score), 0) AS lo FROM d) SELECT sample_id, pathway_id, round(log2(score - lo + 1), 5) AS score FROM d, lo")
 _norm("clip", N.clip, _SEL.format("greatest(least(score, avg(score) OVER w + 3 * stddev_pop(score) OVER w), avg(score) OVER w - 3 * stddev_pop(score) OVER w)") + _W)
 _norm("robust", lambda d: N.robust_zscore(d.where("score > 0")), ", d1 AS (SELECT *, median(score) OVER (PARTITION BY pathway_id) AS m FROM d WHERE score > 0), d2 AS (SELECT *, median(abs(score - m)) OVER (PARTITION BY pathway_id) AS mad FROM d1) SELECT sample_id, pathway_id, round((score - m) / greatest(mad * 1.4826, 1e-10), 5) AS score FROM d2")
+# The same over all rows; nine decimals, so that a set of MAD 0, divided by 1e-10, doesn't show the last bits of a sum.
+_norm("robust_all", lambda d: N.robust_zscore(d.withColumn("score", F.round("score", 9))), ", d0 AS (SELECT sample_id, pathway_id, round(score, 9) AS score FROM d), d1 AS (SELECT *, median(score) OVER (PARTITION BY pathway_id) AS m FROM d0), d2 AS (SELECT *, median(abs(score - m)) OVER (PARTITION BY pathway_id) AS mad FROM d1) SELECT sample_id, pathway_id, round((score - m) / greatest(mad * 1.4826, 1e-10), 5) AS score FROM d2")
 _norm("quantile", N.quantile, ", d1 AS (SELECT *, row_number() OVER (PARTITION BY pathway_id ORDER BY score, sample_id) AS r FROM d), d2 AS (SELECT r, avg(score) AS v FROM d1 GROUP BY 1) SELECT sample_id, pathway_id, round(v, 5) AS score FROM d1 JOIN d2 USING (r)")
 
 
