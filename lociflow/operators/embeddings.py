@@ -24,11 +24,38 @@ def usable(v: str, dim: int) -> Column:
     return c.isNotNull() & (F.size(c) == dim) & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x)) & F.exists(c, lambda x: x != 0)
 
 
-def most_similar(vectors: DataFrame, query: DataFrame, k: int) -> DataFrame:
-    """The k rows of vectors (id, v) most similar to the one row of query (id, v): a scan, and k rows per task."""
-    q = query.select(F.col("id").alias("query_id"), F.col("v").alias("qv")).limit(1)
-    hits = vectors.crossJoin(F.broadcast(q)).where("id <> query_id").select("query_id", "id", F.round(cosine("v", "qv"), 6).alias("similarity"))
-    return hits.orderBy(F.desc("similarity"), "id").limit(k)
+def most_similar(vectors: DataFrame, query: DataFrame, k: int, block: int = 1024) -> DataFrame:
+    """query_id, id, similarity: for every row of query (id, v) the k most similar other rows of vectors (id, v).
+
+    Both sides are cut into blocks of about so many rows by hash; each pair of blocks is one product of matrices that
+    keeps k rows per query, and the best k of these remain. Vectors of different length are not compared.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.window import Window
+
+    def blocks(df: DataFrame, ids: str, vs: str) -> DataFrame:
+        df = df.where("v IS NOT NULL").select("id", "v", F.size("v").alias("d"))
+        n = max(1, -(-df.count() // block))
+        return df.groupBy("d", F.pmod(F.xxhash64("id"), F.lit(n)).alias("b")).agg(F.collect_list(F.struct("id", "v")).alias("r")).select("d", F.col("r.id").alias(ids), F.col("r.v").alias(vs))
+
+    def best(frames):
+        for f in frames:
+            for qi, qv, vi, vv in zip(f["qi"], f["qv"], f["vi"], f["vv"]):
+                q, x = (np.stack([np.asarray(v, dtype=float) for v in m]) for m in (qv, vv))
+                lq, lx = (np.linalg.norm(m, axis=1) for m in (q, x))
+                s = q @ x.T / np.where(lq < 1e-10, np.inf, lq)[:, None] / np.where(lx < 1e-10, np.inf, lx)
+                s, ids, out = np.round(s, 6) + 0.0, np.asarray(vi), []
+                for i, row in zip(qi, s):
+                    top = [j for j in np.lexsort((ids, -row))[: k + (ids == i).sum()] if ids[j] != i][:k]
+                    out.append(pd.DataFrame({"query_id": i, "id": ids[top], "similarity": row[top]}))
+                yield pd.concat(out)
+
+    pairs = blocks(vectors, "vi", "vv").join(blocks(query, "qi", "qv"), "d").drop("d")
+    pairs = pairs.repartition(vectors.sparkSession.sparkContext.defaultParallelism)
+    hits = pairs.mapInPandas(best, "query_id bigint, id bigint, similarity double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    return hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")
 
 
 def fuse_concat(a: DataFrame, b: DataFrame) -> DataFrame:
