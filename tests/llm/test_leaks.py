@@ -1,7 +1,8 @@
 import random
 
 from lociflow.llm.leaks import find_leaks, without_leaks
-from lociflow.llm.words import words
+from lociflow.llm import leaks
+from lociflow.llm.words import readings, words
 
 ITEM = [f"word{chr(97 + i)}" for i in range(20)]
 FILL = "some other text that has nothing in common with it at all".split()
@@ -18,6 +19,36 @@ def test_words():
     assert words("T&#104;e <em>Ca</em>fé, thal-\namic ﬁlter ZERO​width soft\xadhyphen х-ray") == "the cafe thalamic filter zerowidth softhyphen x ray".split()
 
 
+def test_long_tags_and_hyphens_at_line_ends():
+    tag = "<span style='" + "x" * 4000 + "'>"
+    assert words(f"one {tag}two</span> p <q three") == "one two p q three".split()
+    assert readings("a well-\nknown exam-\nple", {"well", "known", "example"}) == ["a well known example".split()]
+    assert readings("some-\nthing", {"some", "thing", "something"}) == [["something"], ["some", "thing"]]
+
+
+def test_broken_compound_and_another_edit(spark):
+    item = "a well known b c d e f g h i j".split()
+    text = "q a well-\nknown b c x e f g y i j q"  # the hyphen is none of the two edits
+    assert run(spark, [text, text.replace(" b ", " z ")], [" ".join(item)])[0] == {(0, 0): 5}
+
+
+def test_longest_match_is_full_depth(spark):
+    long = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(90)]
+    docs = [" ".join(FILL + long[5:82] + FILL + long[:14]), " ".join(long[40:60] + FILL)]
+    got, _ = run(spark, docs, [" ".join(long), " ".join(long[40:60])])
+    assert got == {(0, 0): 77, (0, 1): 20, (1, 0): 20, (1, 1): 20}
+
+
+def test_shards_chunks_and_parts(spark, monkeypatch):
+    docs = [" ".join(FILL + ITEM[i % 5 : i % 5 + 12] + FILL) for i in range(60)]
+    items = [" ".join(ITEM), " ".join(reversed(ITEM)), " ".join(ITEM[:13])]
+    want = run(spark, docs, items)[0]
+    assert len(want) >= 60
+    for name, small in (("SHARD_WORDS", 50), ("CHUNK", 3), ("ITEM_BYTES", 150)):
+        monkeypatch.setattr(leaks, name, small)
+    assert run(spark, docs, items)[0] == want
+
+
 def test_cases(spark):
     w = ITEM
     docs = [
