@@ -24,12 +24,12 @@ def _levels(own: str, when: str, coarse: list[str], days: int, spans: bool = Fal
     return [finest, Level(OWN, {own: F.col(own)}), *tail, Level("all", {}, 5)]
 
 
-def filled_phenotypes(spark: SparkSession, sf: str, fields: list = PHENOTYPE_FIELDS, depth: int | None = None, spans: bool = False) -> DataFrame:
-    return fill_missing(table(spark, sf, "phenotypes"), fields, _levels("sample_id", "visit_date", ["diagnosis", "cohort"], 180, spans)[:depth])
+def filled_phenotypes(spark: SparkSession, sf: str, spans: bool = False) -> DataFrame:
+    return fill_missing(table(spark, sf, "phenotypes"), PHENOTYPE_FIELDS, _levels("sample_id", "visit_date", ["diagnosis", "cohort"], 180, spans))
 
 
-def filled_constraints(spark: SparkSession, sf: str, depth: int | None = None, spans: bool = False) -> DataFrame:
-    return fill_missing(table(spark, sf, "gene_constraints"), CONSTRAINT_FIELDS, _levels("transcript", "released_at", ["gene"], 180, spans)[:depth])
+def filled_constraints(spark: SparkSession, sf: str, spans: bool = False) -> DataFrame:
+    return fill_missing(table(spark, sf, "gene_constraints"), CONSTRAINT_FIELDS, _levels("transcript", "released_at", ["gene"], 180, spans))
 
 
 def _from_own_group(df: DataFrame, name: str, key: str, fields: list[str]) -> DataFrame:
@@ -57,9 +57,8 @@ WHERE v IS NULL AND transcript IN (SELECT transcript FROM g WHERE v IS NOT NULL
 
 @R.add("p3_found", _FOUND_SQL)
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    # coarser levels than the record's own group cannot add a case
-    people = _from_own_group(filled_phenotypes(spark, sf, PHENOTYPE_FIELDS[:2], depth=2), "phenotypes", "visit_id", ["iq_score", "age_at_diagnosis"])
-    genes = _from_own_group(filled_constraints(spark, sf, depth=2), "gene_constraints", "row_id", ["loeuf"])
+    people = _from_own_group(filled_phenotypes(spark, sf), "phenotypes", "visit_id", ["iq_score", "age_at_diagnosis"])
+    genes = _from_own_group(filled_constraints(spark, sf), "gene_constraints", "row_id", ["loeuf"])
     return people.unionByName(genes).distinct()
 
 
