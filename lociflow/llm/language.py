@@ -48,8 +48,9 @@ NAMES = {
 }
 _CODE = {n: k for k, v in NAMES.items() for n in v.split()}
 CONSONANTS = "BCDFGHJKLMNPQRSTVX"  # alone no word in these languages
+MOST_SEEN = 200_000  # what a worker keeps of words is dropped beyond so many
 SCHEMA = "doc_id bigint, segment int, lang string, confidence double, n_words int, at_word int"
-_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][^<>]{0,300}>", re.S)
+_TAG = re.compile(r"<!--.*?-->|</?[A-Za-z][A-Za-z0-9:-]*(?:\s[^<>]*)?/?>", re.S)
 _NOTHING = re.compile("[­​-‏⁠﻿]")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t\r]*\n\s*(?=[^\W\d_])")
 _EDGE = re.compile(r"^[^\w]+|[^\w]+$")
@@ -73,11 +74,30 @@ def label_sql(column: str):
     return F.create_map(*(F.lit(x) for kv in _CODE.items() for x in kv))[first]
 
 
-def tokens(text: str) -> list[tuple[str, bool, int]]:
+class Raw:
+    """What is told of a piece of text between spaces, whatever stands around it."""
+
+    __slots__ = ("word", "kind", "symbol", "letters", "capitals", "stops")
+
+    def __init__(self, raw: str) -> None:
+        w = _EDGE.sub("", raw)
+        self.word = w.lower().replace("’", "'")
+        self.kind = bool(_LETTERS.fullmatch(w)) if w else None  # a word, a symbol or number, nothing
+        self.symbol = bool(self.kind) and w.isupper() and (len(w) > 1 or w in CONSONANTS)  # unless capitals are all around
+        letters = [c for c in raw if c.isalpha()] if self.kind and len(raw) > 1 else []
+        self.letters, self.capitals = len(letters), sum(map(str.isupper, letters))
+        self.stops = raw[-1] in ".!?" or raw[-2:] in ('."', '?"', ".)", ".»", ".”")
+
+
+def tokens(text: str, seen: dict[str, Raw] | None = None) -> list[tuple[str, bool, int]]:
     """(word in lower case, a sentence starts here, words that it stands for) of the words that have a language.
 
-    A symbol or number has no language of its own but counts as a word of the sentence around it.
+    A symbol or number has no language of its own but counts as a word of the sentence around it. seen: what is known
+    of pieces of text, kept from one call to the next.
     """
+    seen = {} if seen is None else seen
+    if len(seen) > MOST_SEEN:
+        seen.clear()
     if "&" in text:
         text = html.unescape(text)
     if "<" in text:
@@ -87,24 +107,27 @@ def tokens(text: str) -> list[tuple[str, bool, int]]:
     text = _BROKEN.sub("", text)
     out: list[tuple[str, bool, int]] = []
     for line in text.split("\n"):
-        raws = line.split()
-        kinds = [bool(_LETTERS.fullmatch(w)) if (w := _EDGE.sub("", raw)) else None for raw in raws]
-        letters = [c for raw, k in zip(raws, kinds) if k and len(raw) > 1 for c in raw if c.isalpha()]
-        shouted = len(letters) >= 12 and sum(map(str.isupper, letters)) > 0.7 * len(letters)
-        if not shouted:  # elsewhere capitals alone are a symbol
-            kinds = [k and not ((w := _EDGE.sub("", raw)).isupper() and (len(w) > 1 or w in CONSONANTS)) if k else k for raw, k in zip(raws, kinds)]
+        raws = []
+        for x in line.split():
+            r = seen.get(x)
+            if r is None:
+                r = seen[x] = Raw(x)
+            raws.append(r)
+        letters = sum(r.letters for r in raws)
+        shouted = letters >= 12 and sum(r.capitals for r in raws) > 0.7 * letters
+        kinds = [r.kind and (shouted or not r.symbol) for r in raws]
         if "\t" in line and sum(map(bool, kinds)) < 0.5 * len(kinds):
             continue
         start, waiting = True, 0
-        for raw, k in zip(raws, kinds):
+        for r, k in zip(raws, kinds):
             if k:
-                out.append((_EDGE.sub("", raw).lower().replace("’", "'"), start, 1 + waiting))
+                out.append((r.word, start, 1 + waiting))
                 start, waiting = False, 0
             elif k is not None and start:
                 waiting += 1
             elif k is not None:
                 out[-1] = (*out[-1][:2], out[-1][2] + 1)
-            if raw[-1] in ".!?" or raw[-2:] in ('."', '?"', ".)", ".»", ".”"):
+            if r.stops:
                 start, waiting = True, 0
     return out
 
@@ -166,11 +189,11 @@ def _scores(units, weights, bias) -> np.ndarray:
 
 def train(rows: list[tuple[str, str]], units: int = 12000, min_df: int = 4, most_ngrams: int = 40000, epochs: int = 2, seed: int = 7) -> Model | None:
     """rows (text, language). Units are sentences, and single words of them for the calibration of words."""
-    rng = np.random.default_rng(seed)
+    rng, seen = np.random.default_rng(seed), {}
     data: list[tuple[list[str], int, int]] = []  # words, language, document
     for doc, (text, lang) in enumerate(rows):
         sentence: list[str] = []
-        for w, start, _ in [*tokens(text), ("", True, 0)]:
+        for w, start, _ in [*tokens(text, seen), ("", True, 0)]:
             if start and sentence:
                 if len(sentence) >= 3:
                     data.append((sentence, LANGUAGES.index(lang), doc))
@@ -221,19 +244,34 @@ class Scorer:
     word can say for a language, so that no single word decides.
     """
 
+    AT_ONCE = 400_000  # words of the longest text times texts that are walked together
+
     def __init__(self, model: Model, inside: float = 9.0, between: float = 4.0, least: float = -3.5) -> None:
-        self.m, self.seen, self.inside, self.between, self.least = model, {}, inside, between, least
-
-    def word(self, w: str) -> tuple[np.ndarray, np.ndarray]:
-        """log-probabilities and n-grams of a word."""
-        if w not in self.seen:
-            if len(self.seen) > 200_000:
-                self.seen.clear()
-            at = [self.m.index[g] for g in ngrams(w) if g in self.m.index]
-            n = Counter(at)
-            norm = float(sum((c * self.m.idf[g]) ** 2 for g, c in n.items()))
-            self.seen[w] = (np.maximum(self._log(self.m.weights[at].sum(0), norm), self.least), np.array(at, np.int64))
-        return self.seen[w]
+        self.m, self.inside, self.between, self.least = model, inside, between, least
+        self.raws: dict[str, Raw] = {}
+        self._new()
+
+    def _new(self) -> None:
+        """number of each word seen; by number its log-probabilities, n-grams and their weights together."""
+        k = len(LANGUAGES)
+        self.seen: dict[str, int] = {}
+        self.says, self.weights, self.grams = np.zeros((1024, k)), np.zeros((1024, k)), []
+
+    def number(self, w: str) -> int:
+        i = self.seen.get(w)
+        if i is None:
+            i = self.seen[w] = len(self.seen)
+            if i >= len(self.says):
+                self.says, self.weights = (np.concatenate([x, np.zeros_like(x)]) for x in (self.says, self.weights))
+            at = np.array([self.m.index[g] for g in ngrams(w) if g in self.m.index], np.int64)
+            self.grams.append(at)
+            self.weights[i] = self.m.weights[at].sum(0)
+            self.says[i] = np.maximum(self._log(self.weights[i], self._norm(at)), self.least)
+        return i
+
+    def _norm(self, grams: np.ndarray) -> float:
+        at, n = np.unique(grams, return_counts=True)
+        return float(((n * self.m.idf[at]) ** 2).sum())
 
     def _log(self, s: np.ndarray, norm: float) -> np.ndarray:
         z = (s / (norm**0.5 or 1.0) + self.m.bias) / self.m.temperature
@@ -241,60 +279,92 @@ class Scorer:
         return z - np.log(np.exp(z).sum())
 
     def segments(self, text: str | None) -> list[tuple[str, float, int, int]]:
-        """(language, confidence, words, number of the first word), in the order of the text."""
-        ws = tokens(text) if text else []
-        if not ws:
-            return []
-        e = np.array([self.word(w)[0] for w, _, _ in ws])
-        if self._one_language(e):
-            return self._named(ws, np.full(len(ws), e.sum(0).argmax()))
-        back = np.zeros(e.shape, np.int16)
-        best, own = e[0].copy(), np.arange(e.shape[1])
-        for i in range(1, len(ws)):
-            top = int(best.argmax())
-            change = best[top] - (self.between if ws[i][1] else self.inside)
-            stay = best >= change
-            back[i] = np.where(stay, own, top)
-            best = np.where(stay, best, change) + e[i]
-        path = np.empty(len(ws), int)
-        path[-1] = best.argmax()
-        for i in range(len(ws) - 1, 0, -1):
-            path[i - 1] = back[i][path[i]]
-        return self._named(ws, path)
+        return self.many([text])[0]
+
+    def many(self, texts: list[str | None]) -> list[list[tuple[str, float, int, int]]]:
+        """(language, confidence, words, number of the first word) of each text's segments, in the order of the text."""
+        if len(self.seen) > MOST_SEEN:
+            self._new()
+        out: list[list] = [[] for _ in texts]
+        mixed = []
+        for k, text in enumerate(texts):
+            ws = tokens(text, self.raws) if text else []
+            if not ws:
+                continue
+            at = np.array([self.number(w) for w, _, _ in ws])
+            stands = np.array([n for _, _, n in ws])
+            e = self.says[at]
+            if self._one_language(e):
+                out[k] = self._named(at, stands, np.full(len(at), e.sum(0).argmax()))
+            else:
+                mixed.append((k, at, stands, np.array([s for _, s, _ in ws])))
+        mixed.sort(key=lambda x: -len(x[1]))
+        while mixed:
+            n = max(1, self.AT_ONCE // len(mixed[0][1]))
+            for (k, at, stands, _), path in zip(mixed[:n], self._paths(mixed[:n])):
+                out[k] = self._named(at, stands, path)
+            mixed = mixed[n:]
+        return out
+
+    def _paths(self, texts: list[tuple]) -> list[np.ndarray]:
+        """The best sequence of languages over the words of each text, longest text first, all texts step by step."""
+        sizes = np.array([len(at) for _, at, _, _ in texts])
+        d, most, own = len(texts), sizes[0], np.arange(len(LANGUAGES), dtype=np.int8)
+        e, cost = np.zeros((most, d, len(own))), np.full((most, d), self.inside)
+        for k, (_, at, _, starts) in enumerate(texts):
+            e[: len(at), k] = self.says[at]
+            cost[: len(at), k] = np.where(starts, self.between, self.inside)
+        back, best = np.zeros((most, d, len(own)), np.int8), e[0].copy()
+        for i in range(1, most):
+            n = int(np.searchsorted(-sizes, -i, side="left"))  # texts of more than i words
+            now = best[:n]
+            top = now.argmax(1)
+            change = (now[np.arange(n), top] - cost[i, :n])[:, None]
+            stay = now >= change
+            back[i, :n] = np.where(stay, own, top[:, None])
+            best[:n] = np.where(stay, now, change) + e[i, :n]
+        out = []
+        for k, n in enumerate(sizes):
+            path = np.empty(n, int)
+            path[-1] = best[k].argmax()
+            steps = back[:, k]
+            for i in range(n - 1, 0, -1):
+                path[i - 1] = steps[i, path[i]]
+            out.append(path)
+        return out
 
     def _one_language(self, e: np.ndarray) -> bool:
         """No stretch of words speaks for another language than the whole text's by half a change's cost, so that no
         sequence with changes can be better than one without."""
         c = np.cumsum(e - e[:, [e.sum(0).argmax()]], axis=0)
-        c = np.vstack([np.zeros((1, c.shape[1])), c])
-        return bool((c - np.minimum.accumulate(c, axis=0)).max() < min(self.between, self.inside) / 2)
+        low = np.minimum(np.minimum.accumulate(c, axis=0), 0)
+        return bool((c[0].max() if len(c) == 1 else max(c[0].max(), (c[1:] - low[:-1]).max())) < min(self.between, self.inside) / 2)
 
-    def _named(self, ws: list[tuple[str, bool, int]], path: np.ndarray) -> list[tuple[str, float, int, int]]:
-        runs: list[tuple[int, int, int]] = []  # language, first, end
-        for a, b in self._cuts(path):  # what a run's n-grams say together counts more than its words one by one
-            lang = int(self._sum(ws[a:b]).argmax())
+    def _named(self, at: np.ndarray, stands: np.ndarray, path: np.ndarray) -> list[tuple[str, float, int, int]]:
+        cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
+        runs: list[list] = []  # language, first, end, log-probabilities
+        for a, b in zip(cuts, cuts[1:]):  # what a run's n-grams say together counts more than its words one by one
+            said = self._sum(at[a:b])
+            lang = int(said.argmax())
             if runs and runs[-1][0] == lang:
-                runs[-1] = (lang, runs[-1][1], b)
+                runs[-1][2:] = [b, None]
             else:
-                runs.append((lang, a, b))
-        at = np.concatenate([[0], np.cumsum([n for _, _, n in ws])])
-        return [(LANGUAGES[k], float(np.exp(self._sum(ws[a:b])[k])), int(at[b] - at[a]), int(at[a])) for k, a, b in runs]
-
-    @staticmethod
-    def _cuts(path: np.ndarray) -> list[tuple[int, int]]:
-        cuts = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), len(path)]
-        return list(zip(cuts, cuts[1:]))
+                runs.append([lang, a, b, said])
+        first = np.concatenate([[0], np.cumsum(stands)])
+        return [(LANGUAGES[k], float(np.exp((self._sum(at[a:b]) if said is None else said)[k])), int(first[b] - first[a]), int(first[a])) for k, a, b, said in runs]
 
-    def _sum(self, ws: list[tuple[str, bool, int]]) -> np.ndarray:
+    def _sum(self, at: np.ndarray) -> np.ndarray:
         """log-probabilities of some words together, by their TF-IDF."""
-        tf = np.bincount(np.concatenate([self.word(w)[1] for w, _, _ in ws]), minlength=len(self.m.idf))
-        return self._log(tf @ self.m.weights, float(((tf * self.m.idf) ** 2).sum()))
+        return self._log(self.weights[at].sum(0), self._norm(np.concatenate([self.grams[i] for i in at])))
 
 
-def fit(docs: DataFrame, sample_docs: int = 4000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
-    """A model from at most sample_docs labelled documents, the first in hash order."""
+def fit(docs: DataFrame, sample_docs: int = 4000, most_chars: int = 100_000, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model | None:
+    """A model from at most sample_docs labelled documents, the first in hash order of those of 20 to most_chars characters.
+
+    These bounds hold for the sample that trains the classifier, so that it fits the driver; every document is classified.
+    """
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), label_sql(lang).alias("lang"))
-    rows = rows.where("lang IS NOT NULL AND length(text) BETWEEN 20 AND 100000")
+    rows = rows.where(F.col("lang").isNotNull() & F.length("text").between(20, most_chars))
     return train([(r.text, r.lang) for r in hash_sample(rows, "doc_id", sample_docs, rows.count()).collect()])
 
 
@@ -304,7 +374,8 @@ def segments(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if model else None
         for b in batches:
-            rows = [(d, k, *s) for d, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for k, s in enumerate(scorer.segments(t) if scorer else [])]
+            found = scorer.many(b.column(1).to_pylist()) if scorer else []
+            rows = [(d, k, *s) for d, of in zip(b.column(0).to_pylist(), found) for k, s in enumerate(of)]
             if rows:
                 kinds = (pa.int64(), pa.int32(), pa.string(), pa.float64(), pa.int32(), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names=["doc_id", "segment", "lang", "confidence", "n_words", "at_word"])

@@ -15,8 +15,8 @@ equi-joins on short texts of bounded number per value, and no side is broadcast
 
 Defined results: null and blank values are left out; ties in distance go to the smallest canonical entry;
 repeated rows give one result per id; empty tables give empty results (an empty list: all unmatched); a null or
-blank key of the list is ignored; a key claimed by two entries names the smaller one; very long values match
-only by equality, as an edit-distance match needs a length within k of a name's.
+blank key of the list is ignored; a key claimed by two entries names the smaller one; a value
+longer than the longest name by more than k can only match by equality.
 """
 
 from __future__ import annotations
@@ -136,10 +136,10 @@ def match_values(spark: SparkSession, values: DataFrame, keys: DataFrame, k: int
               SELECT s, n, i, a, b, explode(sequence(greatest(0, a - {k}), a + {k})) AS p FROM (
                 SELECT s, n, i, cast(floor(i * n / {k + 1}) AS INT) AS a, cast(floor((i + 1) * n / {k + 1}) AS INT) AS b FROM (
                   SELECT s, n, explode(sequence(0, {k})) AS i FROM (
-                    SELECT s, explode(sequence(greatest({k + 1}, length(s) - {k}), length(s) + {k})) AS n FROM (SELECT DISTINCT s FROM {{r}}) WHERE length(s) BETWEEN 1 AND 200))))
+                    SELECT s, explode(sequence(greatest({k + 1}, length(s) - {k}), length(s) + {k})) AS n FROM (SELECT DISTINCT s FROM {{r}}) WHERE length(s) BETWEEN 1 AND (SELECT max(length(name)) + {k} FROM {{x}} WHERE fuzzy)))))
             WHERE p + b - a <= length(s)""",
-        r=rest,
-    )
+        r=rest, x=list_,
+    )
     near = spark.sql(
         f"""SELECT s, min(struct(d, entry)) AS best FROM (
               SELECT s, entry, CASE WHEN n = length(s) AND d = 2 AND exists(sequence(1, n - 1), j ->

@@ -6,8 +6,8 @@ equal room takes pieces of a length all at once. The plan says for each length w
 each piece then finds its place by its rank within its length.
 
 Scale: only the histogram reaches the driver, at most one row per length up to the capacity, and the plan has at
-most a few rows per length. Ranks are counted in hash buckets with an offset each, so a length that a third of
-all pieces have is no single task. Texts are tokenised once for all capacities.
+most a few rows per length. Ranks are counted in hash buckets with an offset each, as many as the pieces
+need, so a length that a third of all pieces have is no single task. Texts are tokenised once for all capacities.
 
 Defined results: texts without tokens (null or empty) need no room and come out with a null container; every
 other token of every document is in exactly one container; equal texts are separate pieces; the same input gives
@@ -34,7 +34,7 @@ from lociflow.session import cut
 VOCABULARY = os.environ.get("LOCIFLOW_VOCABULARY", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 #: How a text is split before the merges of this vocabulary. Fixed value.
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-BUCKETS = 64
+BUCKET_PIECES = 250_000  # about so many pieces are ranked in one group
 
 
 def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -100,9 +100,11 @@ def pack(counts: DataFrame, capacity: int) -> DataFrame:
     if capacity < 1:
         raise ValueError("a container must hold a token")
     n, c = F.col("n_tokens"), F.lit(capacity)
+    made = counts.agg(F.coalesce(F.sum(F.ceil(n / c)), F.lit(0))).first()[0]
+    buckets = max(1, -(-made // BUCKET_PIECES))
     pieces = counts.where("n_tokens > 0").select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), F.floor((n - 1) / c).cast("int"))).alias("piece"))
-    pieces = pieces.select("doc_id", "piece", F.least(c, n - F.col("piece") * c).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(BUCKETS)).alias("bucket"))
-    sizes = pieces.groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("k"))  # at most capacity * BUCKETS rows
+    pieces = pieces.select("doc_id", "piece", F.least(c, n - F.col("piece") * c).cast("long").alias("n_tokens"), F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).alias("bucket"))
+    sizes = pieces.groupBy("n_tokens", "bucket").agg(F.count(F.lit(1)).alias("k"))  # at most capacity rows for each bucket
     histogram = {r.n_tokens: r.k for r in sizes.groupBy("n_tokens").agg(F.sum("k").alias("k")).collect()}
     plan, _ = best_fit(histogram, capacity)
     lengths, ranks, firsts, each = (np.array(x, np.int64) for x in (zip(*plan) if plan else ((), (), (), ())))

@@ -7,7 +7,8 @@ so the walk ends at a reach ``slack * 2 * (1 - min_similarity)``; with slack 1 n
 differences that spread over d dimensions 9 / d is enough (three standard deviations along one direction).
 Entries of the visited cells are reranked by exact cosine.
 
-Scale: the codebooks are fit on a bounded sample (``sample_rows``, by hash order), every row is indexed. A query
+Scale: the codebooks grow with the square root of the rows and are fit on a bounded sample (8 rows per centroid, at
+least 16,384 and at most ``sample_rows``, by hash order), every row is indexed. A query
 travels once per first-half centroid that it visits, with the list of second halves. The rows of one centroid are
 cut into blocks of ``block_rows`` members, and its queries into as many parts, so a hot cell is many tasks; a
 task holds one block of members and streams its queries. Equal vectors are one entry; what is said of a class is
@@ -177,7 +178,7 @@ def _score(dim: int, k: int, least: float):
     return run
 
 
-def nearest(units: DataFrame, k: int, dim: int, min_similarity: float | None = None, reach: float | None = None, slack: float = 0.12, asks=None, sample_rows: int = 16384, cell_rows: int = 9, block_rows: int = 8192) -> DataFrame:
+def nearest(units: DataFrame, k: int, dim: int, min_similarity: float | None = None, reach: float | None = None, slack: float = 0.12, asks=None, sample_rows: int = 65536, cell_rows: int = 9, block_rows: int = 8192) -> DataFrame:
     """id, other, sim, rank of the k most similar ids of each id in units (id, vec).
 
     asks: a condition on the ids that ask; all ids answer. reach: end of the walk, else from min_similarity.
@@ -189,9 +190,10 @@ def nearest(units: DataFrame, k: int, dim: int, min_similarity: float | None = N
     empty = spark.createDataFrame([], "id string, other string, sim double, rank int")
     if n == 0:
         return empty
-    sample = hash_sample(classes, "id", sample_rows, n).select("vec").toArrow()
+    wanted = max(4, round((n / cell_rows) ** 0.5))
+    sample = hash_sample(classes, "id", min(sample_rows, max(16384, 8 * wanted)), n).select("vec").toArrow()
     x = _matrix(sample.column("vec"), dim)
-    size = int(min(max(4, round((n / cell_rows) ** 0.5)), 1024, len(x)))
+    size = int(min(wanted, len(x)))
     ca, cb = codebook(x[:, : dim // 2], size), codebook(x[:, dim // 2 :], size)
     least = -1.1 if min_similarity is None else min_similarity
     reach = reach if reach is not None else slack * 2 * (1 - least)

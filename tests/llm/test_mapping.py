@@ -57,3 +57,8 @@ def test_against_brute_force(spark):
     for v in values:
         best = min((dist(v, k), k) for k in keys)
         assert got[v] == ((best[1], best[0]) if best[0] <= 2 else ("UNMATCHED", None)), (v, got[v], best)
+
+
+def test_long_names_bear_typos_too(spark):
+    name = "".join(chr(65 + (i * 7) % 26) for i in range(300))
+    assert run(spark, [name[:150] + "9" + name[150:]], [(name, "LONG", True)])[name[:150] + "9" + name[150:]] == ("LONG", 1)
