@@ -150,3 +150,32 @@ def scaled(scores: DataFrame, least: float = 1e-10) -> DataFrame:
     """Scores divided by the largest of their key; what is next to nothing is dropped."""
     top = scores.groupBy("key").agg(F.max("score").alias("top")).where("top > 0")
     return scores.join(top, "key").select("key", "node_id", (F.col("score") / F.col("top")).alias("score")).where(F.col("score") > least)
+
+
+# parts of one typed graph --------------------------------------------------------------------------------
+
+
+def membership_part(membership: DataFrame, kind: str = "pathway") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of sets and their genes (pathway_id, gene)."""
+    nodes = membership.select(F.col("gene").alias("node_id"), F.lit("gene").alias("node_type")).unionByName(membership.select(F.col("pathway_id").alias("node_id"), F.lit(kind).alias("node_type")))
+    return nodes, membership.select(F.col("gene").alias("src"), F.col("pathway_id").alias("dst"), F.lit("member_of").alias("edge_type"), F.lit(1.0).alias("weight"))
+
+
+def hierarchy_part(parents: DataFrame, child_type: str, parent_type: str, relation: str = "is_a") -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges of a hierarchy (child, parent)."""
+    nodes = parents.select(F.col("child").alias("node_id"), F.lit(child_type).alias("node_type")).unionByName(parents.select(F.col("parent").alias("node_id"), F.lit(parent_type).alias("node_type")))
+    return nodes, parents.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit(relation).alias("edge_type"), F.lit(1.0).alias("weight"))
+
+
+def interactions(rows: DataFrame, a: str, b: str, score: str, least: float = 0.0) -> DataFrame:
+    """Edges of pairs in any frame with more than a least score: each pair in order; scores above 1 are per mille."""
+    s = F.col(score)
+    return rows.where((s > least) & (F.col(a) != F.col(b))).select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst"), F.lit("interacts").alias("edge_type"), F.when(s > 1, s / 1000).otherwise(s).alias("weight"))
+
+
+def assemble(parts: list[tuple[DataFrame, DataFrame]]) -> tuple[DataFrame, DataFrame]:
+    """One graph of several: distinct nodes and the distinct edges of all parts."""
+    nodes, edges = (parts[0][i].select(c) for i, c in ((0, ["node_id", "node_type"]), (1, ["src", "dst", "edge_type", "weight"])))
+    for n, e in parts[1:]:
+        nodes, edges = nodes.unionByName(n.select(nodes.columns)), edges.unionByName(e.select(edges.columns))
+    return nodes.distinct(), edges.distinct()

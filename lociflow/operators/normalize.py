@@ -85,3 +85,17 @@ def tail(z: Column) -> Column:
 def significance(df: DataFrame) -> DataFrame:
     """-log10 of the two-sided probability of a z score."""
     return _out(df, -F.log10(F.greatest(2 * tail(F.col("score")), F.lit(1e-300))))
+
+
+def priors(values: DataFrame, how: str = "minmax") -> DataFrame:
+    """gene, prior of (gene, value): between least and largest (0.5 where all are equal), in deviations (0 where none), or
+    the share of smaller values. Ranks come from the counts of distinct values."""
+    if how == "rank":
+        counts = values.groupBy("value").agg(F.count(F.lit(1)).alias("k"))
+        below = counts.select("value", (F.sum("k").over(Window.orderBy("value")) - F.col("k")).alias("below"))
+        n = values.agg(F.count(F.lit(1)).alias("n"))
+        return values.join(below, "value").crossJoin(F.broadcast(n)).select("gene", F.coalesce(F.try_divide("below", F.col("n") - 1), F.lit(0.0)).alias("prior"))
+    t = values.agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.avg("value").alias("m"), F.stddev_pop("value").alias("s"))
+    x = F.col("value")
+    prior = {"minmax": F.coalesce(F.try_divide(x - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.5)), "zscore": F.coalesce(F.try_divide(x - F.col("m"), "s"), F.lit(0.0))}[how]
+    return values.crossJoin(F.broadcast(t)).select("gene", prior.alias("prior"))

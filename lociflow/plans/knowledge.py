@@ -419,11 +419,11 @@ def gates(spark: SparkSession, sf: str) -> DataFrame:
 
 RULES = [
     RU.Rule("R1", "gene_effect", 0.9, ("lof", "constrained")),
-    RU.Rule("R3", "gene_effect", 0.92, ("damaging", "syndromic")),
-    RU.Rule("R5", "modifier", 0.49, ("lof",), ("high_confidence",)),
+    RU.Rule("S1", "gene_effect", 0.92, ("damaging", "syndromic")),
+    RU.Rule("S2", "modifier", 0.49, ("lof",), ("high_confidence",)),
     RU.Rule("R7", "known_gene", 0.88, ("damaging", "high_confidence")),
 ]
-SQL_FACTS = f"{Q.SQL_ANNOTATED}, {SQL_CONSTRAINT}, {SQL_DISEASE}, fv AS (SELECT sample_id, gene, bool_or(is_lof) AS lof, bool_or(is_damaging) AS damaging FROM a WHERE gene IS NOT NULL AND sample_id IS NOT NULL GROUP BY 1, 2), fa AS (SELECT fv.*, coalesce(pli >= 0.9, false) AS constrained, coalesce(score = 1, false) AS hc, coalesce(syndromic, false) AS syn FROM fv LEFT JOIN lc USING (gene) LEFT JOIN dg USING (gene)), h AS (SELECT sample_id, gene, 'R1' AS rule_id, 'gene_effect' AS kind, 0.9::DOUBLE AS confidence FROM fa WHERE lof AND constrained UNION ALL SELECT sample_id, gene, 'R3', 'gene_effect', 0.92 FROM fa WHERE damaging AND syn UNION ALL SELECT sample_id, gene, 'R5', 'modifier', 0.49 FROM fa WHERE lof AND NOT hc UNION ALL SELECT sample_id, gene, 'R7', 'known_gene', 0.88 FROM fa WHERE damaging AND hc), fi AS (SELECT sample_id, rule_id, kind, confidence, min(gene) AS gene, count(*) AS n_genes FROM h GROUP BY 1, 2, 3, 4)"
+SQL_FACTS = f"{Q.SQL_ANNOTATED}, {SQL_CONSTRAINT}, {SQL_DISEASE}, fv AS (SELECT sample_id, gene, bool_or(is_lof) AS lof, bool_or(is_damaging) AS damaging FROM a WHERE gene IS NOT NULL AND sample_id IS NOT NULL GROUP BY 1, 2), fa AS (SELECT fv.*, coalesce(pli >= 0.9, false) AS constrained, coalesce(score = 1, false) AS hc, coalesce(syndromic, false) AS syn FROM fv LEFT JOIN lc USING (gene) LEFT JOIN dg USING (gene)), h AS (SELECT sample_id, gene, 'R1' AS rule_id, 'gene_effect' AS kind, 0.9::DOUBLE AS confidence FROM fa WHERE lof AND constrained UNION ALL SELECT sample_id, gene, 'S1', 'gene_effect', 0.92 FROM fa WHERE damaging AND syn UNION ALL SELECT sample_id, gene, 'S2', 'modifier', 0.49 FROM fa WHERE lof AND NOT hc UNION ALL SELECT sample_id, gene, 'R7', 'known_gene', 0.88 FROM fa WHERE damaging AND hc), fi AS (SELECT sample_id, rule_id, kind, confidence, min(gene) AS gene, count(*) AS n_genes FROM h GROUP BY 1, 2, 3, 4)"
 
 
 def facts(spark: SparkSession, sf: str) -> DataFrame:
