@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Amino acids, one letter each, and their groups by side chain. Fixed values.
+#: Amino acids, one letter each, and their groups; a residue of two belongs to the first. Fixed values.
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
-GROUPS = {"hydrophobic": "AVILMFWP", "polar": "STNQYCG", "positive": "KRH", "negative": "DE"}
+GROUPS = {"hydrophobic": "AILMFWV", "polar": "STNQ", "positive": "KRH", "negative": "DE", "special": "CGP", "aromatic": "FYW"}
 
 
 def unit(v: Column) -> Column:
@@ -41,11 +41,32 @@ def text_vector(text: Column, keywords: list[str], dim: int = 64, seed: int = 42
 
 
 def residue_group(r: Column) -> Column:
-    return F.create_map(*(F.lit(x) for g, rs in GROUPS.items() for one in rs for x in (one, g)))[F.upper(r)]
+    groups: dict[str, str] = {}
+    for g, residues in GROUPS.items():
+        for one in residues:
+            groups.setdefault(one, g)
+    return F.coalesce(F.create_map(*(F.lit(x) for pair in groups.items() for x in pair))[F.upper(r)], F.lit("other"))
 
 
 def substitution_score(ref: Column, alt: Column) -> Column:
-    """0 for the same residue, 0.3 inside a group, 0.7 where a charge is won, lost or turned, 0.5 otherwise."""
+    """0 for the same residue, 0.3 inside a group, 0.7 where a charge is turned, 0.5 otherwise."""
     a, b = residue_group(ref), residue_group(alt)
-    charged = a.isin("positive", "negative") | b.isin("positive", "negative")
+    charged = a.isin("positive", "negative") & b.isin("positive", "negative")
     return F.when(F.upper(ref) == F.upper(alt), 0.0).when(a == b, 0.3).when(charged, 0.7).otherwise(0.5)
+
+
+def context_vector(gene: Column, cell_type: Column, dim: int, seed: int = 42) -> Column:
+    """hash_vector of a gene in a cell type: another vector in each."""
+    return hash_vector(F.concat_ws("_", F.upper(gene), cell_type), dim, seed)
+
+
+def normal_id(gene: Column) -> Column:
+    """Trimmed; identifiers that begin with ENSG or ENSP stay, all others become upper case."""
+    t = F.trim(gene)
+    return F.when(t.rlike("^ENS[GP]"), t).otherwise(F.upper(t))
+
+
+def variant_effects(sequence: Column, variants: Column) -> Column:
+    """position, ref, alt, score of those variants (position from 1, ref, alt) whose residue the sequence has there."""
+    fits = F.filter(variants, lambda v: (v["position"] >= 1) & (F.upper(F.substring(sequence, v["position"], F.lit(1))) == F.upper(v["ref"])))
+    return F.transform(fits, lambda v: F.struct(v["position"].alias("position"), v["ref"].alias("ref"), v["alt"].alias("alt"), substitution_score(v["ref"], v["alt"]).alias("score")))

@@ -169,3 +169,189 @@ def train_translation(triples: DataFrame, configs: list[dict], most_triples: int
         return pd.DataFrame({"config": key[0], "node_id": nodes, "v": list(e)})
 
     return grid.join(part, how="cross").groupBy("config").applyInPandas(train, "config int, node_id string, v array<double>")
+
+
+# link prediction, fusion ----------------------------------------------------------------------------------
+
+
+def link_distance(triples: DataFrame, nodes: DataFrame, relations: DataFrame, distance=translate_distance) -> DataFrame:
+    """head, relation, tail, distance: the lower, the likelier; triples with an unknown end are left out."""
+    v = lambda df, key, name: df.select(F.col(df.columns[0]).alias(key), F.col("v").alias(name))
+    j = triples.join(v(nodes, "head", "_h"), "head").join(v(nodes, "tail", "_t"), "tail").join(v(relations, "relation", "_r"), "relation")
+    return j.select("head", "relation", "tail", distance("_h", "_r", "_t").alias("distance"))
+
+
+def predict_tails(queries: DataFrame, nodes: DataFrame, relations: DataFrame, k: int = 10, known: DataFrame | None = None) -> DataFrame:
+    """head, relation, tail, distance of the k nearest tails of each query (head, relation); known triples are filtered out.
+
+    A query wants the node nearest to head plus relation, so it is one of the vectors that are searched in blocks.
+    """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql.window import Window
+
+    q = queries.join(nodes.select(F.col("id").alias("head"), F.col("v").alias("_h")), "head").join(relations.select(F.col("id").alias("relation"), F.col("v").alias("_r")), "relation")
+    q = q.select("head", "relation", F.zip_with("_h", "_r", lambda x, y: x + y).alias("q"))
+    block = 1024
+
+    def blocks(df: DataFrame, cols: list[str], name: str) -> DataFrame:
+        n = max(1, -(-df.count() // block))
+        return df.groupBy(F.pmod(F.xxhash64(cols[0]), F.lit(n))).agg(F.collect_list(F.struct(*cols)).alias(name)).select(name)
+
+    more = 0
+    if known is not None:  # a head has so many known tails at most, which are searched beside the k
+        more = known.groupBy("head", "relation").agg(F.count_distinct("tail").alias("n")).agg(F.coalesce(F.max("n"), F.lit(0))).first()[0]
+
+    def best(frames):
+        for f in frames:
+            for qs, ns in zip(f["qs"], f["ns"]):
+                x, y = np.stack([np.asarray(r["q"], float) for r in qs]), np.stack([np.asarray(r["v"], float) for r in ns])
+                d = np.sqrt(np.maximum((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0))
+                ids = np.array([r["id"] for r in ns], object)
+                for r, row in zip(qs, d):
+                    top = np.lexsort((ids.astype(str), np.round(row, 9)))[: k + more + 1]
+                    yield pd.DataFrame({"head": r["head"], "relation": r["relation"], "tail": ids[top], "distance": row[top]})
+
+    kind = dict(nodes.dtypes)["id"]
+    found = blocks(q, ["head", "relation", "q"], "qs").crossJoin(blocks(nodes, ["id", "v"], "ns")).repartition(q.sparkSession.sparkContext.defaultParallelism).mapInPandas(best, f"head {kind}, relation string, tail {kind}, distance double").where("head <> tail")
+    if known is not None:
+        found = found.join(known.select("head", "relation", "tail").distinct(), ["head", "relation", "tail"], "left_anti")
+    w = Window.partitionBy("head", "relation").orderBy(F.round("distance", 9), F.col("tail").cast("string"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def best_epoch(history: DataFrame) -> DataFrame:
+    return history.agg(F.min_by("epoch", F.struct("loss", "epoch")).alias("epoch"), F.min("loss").alias("loss"))
+
+
+def adversarial_loss(positive: Column, negatives: Column, margin: float = 6.0, temperature: float = 1.0) -> Column:
+    """-log sigmoid(margin - positive) - sum of softmax(temperature * d) * log sigmoid(d - margin) over the negatives d."""
+    log_sigmoid = lambda x: -F.log1p(F.exp(-F.abs(x))) + F.least(x, F.lit(0.0))
+    top = F.array_max(negatives)
+    e = F.transform(negatives, lambda d: F.exp(temperature * (d - top)))
+    total = F.aggregate(e, F.lit(0.0), lambda s, x: s + x)
+    pull = F.aggregate(F.zip_with(negatives, e, lambda d, w: w * log_sigmoid(d - margin)), F.lit(0.0), lambda s, x: s + x)
+    return -log_sigmoid(margin - positive) - pull / total
+
+
+def subset(vectors: DataFrame, ids: DataFrame) -> DataFrame:
+    return vectors.join(ids.select("id"), "id", "left_semi")
+
+
+def save(vectors: DataFrame, path: str) -> None:
+    vectors.write.mode("overwrite").parquet(path)
+
+
+def load(spark, path: str) -> DataFrame:
+    return spark.read.parquet(path)
+
+
+def batches(rows: DataFrame, size: int) -> DataFrame:
+    """rows with batch, a number that at most so many rows of a partition share; batches never span partitions."""
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        base, done = TaskContext.get().partitionId() << 33, 0
+        for b in it:
+            number = base + (done + np.arange(b.num_rows)) // size
+            done += b.num_rows
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number, pa.int64())], names=[*b.schema.names, "batch"])
+
+    return rows.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in rows.dtypes) + ", batch bigint")
+
+
+def fuse_pca(a: DataFrame, b: DataFrame, k: int | None = None, share: float = 0.95) -> DataFrame:
+    """id, v: both vectors one after the other, on their first k principal axes, or on as many as hold a share of the variance."""
+    from pyspark.ml.feature import PCA
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    x = fuse_concat(a, b)
+    dim = len(x.first()["v"])
+    mean = x.agg(F.array(*(F.avg(F.col("v")[i]) for i in range(dim))).alias("m"))
+    x = x.crossJoin(F.broadcast(mean)).select("id", array_to_vector(F.zip_with("v", "m", lambda p, q: p - q)).alias("x"))
+    model = PCA(k=k or dim, inputCol="x", outputCol="y").fit(x)
+    if k is None:
+        held, k = 0.0, 0
+        for e in model.explainedVariance:
+            held, k = held + e, k + 1
+            if held >= share:
+                break
+    return model.transform(x).select("id", F.slice(vector_to_array("y"), 1, k).alias("v"))
+
+
+def fuse_attention(sources: list[DataFrame]) -> DataFrame:
+    """id, v: sources that all have the id, filled with zeros to equal length, mixed by scaled dot-product self-attention and averaged."""
+    names = [f"v{i}" for i in range(len(sources))]
+    j = sources[0].select("id", F.col("v").alias("v0"))
+    for name, s in zip(names[1:], sources[1:]):
+        j = j.join(s.select("id", F.col("v").alias(name)), "id")
+    dim = F.greatest(*(F.size(n) for n in names)) if len(names) > 1 else F.size("v0")
+    filled = lambda n: F.transform(F.sequence(F.lit(0), dim - 1), lambda i: F.coalesce(F.get(F.col(n), i), F.lit(0.0)))
+    scaled = lambda v, by: F.transform(v, lambda x: x * by)
+    padded = j.select("id", *(filled(n).alias(n) for n in names))
+    out = F.transform("v0", lambda x: x * 0.0)
+    for a in names:
+        s = [dot(a, b) / F.sqrt(F.size(a)) for b in names]
+        top = F.greatest(*s) if len(s) > 1 else s[0]
+        e = [F.exp(x - top) for x in s]
+        total = sum(e[1:], e[0])
+        for b, w in zip(names, e):
+            out = F.zip_with(out, scaled(b, w / total / len(names)), lambda x, y: x + y)
+    return padded.select("id", out.alias("v"))
+
+
+def fuse_learned(a: DataFrame, b: DataFrame, first: list[list[float]], second: list[list[float]]) -> DataFrame:
+    """id, v: both vectors one after the other through two layers, relu between them; the weights are given."""
+    from lociflow.operators.gnn import linear
+
+    return linear(linear(fuse_concat(a, b), first, relu=True), second)
+
+
+def train_rotation(triples: DataFrame, dim: int = 8, epochs: int = 20, rate: float = 0.1, margin: float = 3.0, seed: int = 42, most_triples: int = 200_000) -> tuple[DataFrame, DataFrame]:
+    """(node_id, v) and (epoch, loss): relations turn each complex coordinate of the head towards the tail's.
+
+    Trained in one task on at most most_triples triples by hash; a node of the other triples keeps the vector it began with.
+    """
+    import numpy as np
+    import pandas as pd
+
+    share = min(1.0, most_triples / max(1, triples.count()))
+    part = triples.where(F.pmod(F.xxhash64("head", "relation", "tail"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1)
+    ends = triples.select(F.col("head").alias("node_id")).unionByName(triples.select(F.col("tail").alias("node_id"))).distinct()
+
+    def train(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values(["head", "relation", "tail"])
+        nodes, kinds = sorted(set(f["head"]) | set(f["tail"])), sorted(set(f["relation"]))
+        at, rel = {n: i for i, n in enumerate(nodes)}, {r: i for i, r in enumerate(kinds)}
+        rng = np.random.default_rng(seed)
+        e, phase = rng.normal(size=(len(nodes), 2, dim)) / dim**0.5, rng.uniform(-np.pi, np.pi, (len(kinds), dim))
+        h, t, k = (np.array([m[x] for x in f[c]]) for m, c in ((at, "head"), (at, "tail"), (rel, "relation")))
+        out = []
+        for epoch in range(epochs):
+            fake = rng.integers(0, len(nodes), len(t))
+            cos, sin = np.cos(phase[k]), np.sin(phase[k])
+            turned = np.stack([e[h, 0] * cos - e[h, 1] * sin, e[h, 0] * sin + e[h, 1] * cos], 1)
+            d, g = turned - e[t], turned - e[fake]
+            ld, lg = (np.sqrt((x**2).sum((1, 2))) + 1e-9 for x in (d, g))
+            s = lambda x: 1 / (1 + np.exp(-x))
+            out.append(float(np.mean(-np.log(s(margin - ld)) - np.log(s(lg - margin)))))
+            du, gu = s(ld - margin)[:, None, None] * d / ld[:, None, None], s(margin - lg)[:, None, None] * g / lg[:, None, None]
+            pull = du - gu
+            np.add.at(e, t, rate * du)
+            np.add.at(e, fake, -rate * gu)
+            np.add.at(e, h, -rate * np.stack([pull[:, 0] * cos + pull[:, 1] * sin, -pull[:, 0] * sin + pull[:, 1] * cos], 1))
+            np.add.at(phase, k, -rate * (du[:, 0] * -turned[:, 1] + du[:, 1] * turned[:, 0]))
+        rows = pd.DataFrame({"node_id": nodes, "v": [x.reshape(-1) for x in e], "epoch": None, "loss": None})
+        return pd.concat([rows, pd.DataFrame({"node_id": None, "v": None, "epoch": range(epochs), "loss": out})])
+
+    from lociflow.session import cut
+
+    got = cut(part.select("head", "relation", "tail", F.lit(0).alias("all")).groupBy("all").applyInPandas(train, "node_id string, v array<double>, epoch int, loss double"))
+    first = F.transform(F.sequence(F.lit(1), F.lit(2 * dim)), lambda i: F.pmod(F.xxhash64("node_id", i), F.lit(2001)) / 1000.0 - 1.0)
+    vectors = ends.join(got.where("node_id IS NOT NULL").select("node_id", "v"), "node_id", "left").select("node_id", F.coalesce("v", first).alias("v"))
+    return vectors, got.where("epoch IS NOT NULL").select("epoch", "loss")

@@ -589,7 +589,7 @@ def vec_hashed_genes(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "gene_info").select("symbol", hash_vector(F.upper("symbol"), 32).alias("v"))
 
 
-@R.add("substitution_score", "WITH r AS (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS a), g AS (SELECT a, CASE WHEN contains('AVILMFWP', a) THEN 'h' WHEN contains('STNQYCG', a) THEN 'p' WHEN contains('KRH', a) THEN '+' ELSE '-' END AS g FROM r) SELECT x.a AS ref, y.a AS alt, CASE WHEN x.a = y.a THEN 0 WHEN x.g = y.g THEN 0.3 WHEN x.g IN ('+', '-') OR y.g IN ('+', '-') THEN 0.7 ELSE 0.5 END::DOUBLE AS score FROM g x, g y")
+@R.add("substitution_score", "WITH r AS (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS a), g AS (SELECT a, CASE WHEN a IN ('A', 'I', 'L', 'M', 'F', 'W', 'V') THEN 1 WHEN a IN ('S', 'T', 'N', 'Q') THEN 2 WHEN a IN ('K', 'R', 'H') THEN 3 WHEN a IN ('D', 'E') THEN 4 WHEN a IN ('C', 'G', 'P') THEN 5 ELSE 6 END AS g FROM r) SELECT x.a AS ref, y.a AS alt, CASE WHEN x.a = y.a THEN 0 WHEN x.g = y.g THEN 0.3 WHEN x.g IN (3, 4) AND y.g IN (3, 4) THEN 0.7 ELSE 0.5 END::DOUBLE AS score FROM g x, g y")
 def substitution_score(spark: SparkSession, sf: str) -> DataFrame:
     """The 20 x 20 residues."""
     from lociflow.functions.hashed import RESIDUES, substitution_score as score
