@@ -23,3 +23,12 @@ def spread(scan: DataFrame) -> DataFrame:
     file would otherwise be one task. Scans with enough partitions are left as they are."""
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
+def together(df: DataFrame, key: str, *order: str) -> DataFrame:
+    """All rows of a key in one partition, next to each other and in order, for work on whole groups of rows.
+
+    Partitioned by a hash of the key: an exchange by the key itself is left out where a join before has the same
+    partitioning, and an adaptive plan that then turns that join into a broadcast scatters the groups.
+    """
+    return df.repartition(F.xxhash64(key)).sortWithinPartitions(key, *order)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from lociflow.llm.sampling import hash_sample
+from lociflow.llm.sampling import hash_sample, together
 from lociflow.session import cut
 
 DTYPE = "<f4"
@@ -207,7 +207,7 @@ def nearest(units: DataFrame, k: int, dim: int, min_similarity: float | None = N
     name = F.concat_ws(":", "i", "m", "q").alias("block")
     members = placed.select("id", "vec", "i", "j", cutting.alias("p")).select("*", salt(1).alias("m"), every.alias("q")).select(name, F.lit(0).alias("kind"), "id", "vec", "j", F.lit(None).cast("array<int>").alias("js"))
     queries = placed.select("id", "vec", F.inline("visits")).select("*", cutting.alias("p")).select("*", salt(2).alias("q"), every.alias("m")).select(name, F.lit(1).alias("kind"), "id", "vec", F.lit(None).cast("int").alias("j"), "js")
-    scored = members.unionByName(queries).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_score(dim, k, least), "id string, other string, sim double")
+    scored = members.unionByName(queries).transform(together, "block", "kind").mapInArrow(_score(dim, k, least), "id string, other string, sim double")
     by_sim = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     best = scored.withColumn("rank", F.row_number().over(by_sim)).where(F.col("rank") <= k)
 
