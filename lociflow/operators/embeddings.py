@@ -138,7 +138,8 @@ def train_translation(triples: DataFrame, configs: list[dict], most_triples: int
     """config, node_id, v: translation embeddings of (head, relation, tail), one task per configuration.
 
     Training is sequential, so it runs on a bounded sample of the triples (most_triples, by hash); configurations
-    (dim, epochs, rate, margin, seed) run side by side.
+    (dim, epochs, rate, margin, seed) run side by side. A node that only other triples hold keeps the vector by hash that
+    it would have begun with.
     """
     import numpy as np
     import pandas as pd
@@ -168,7 +169,14 @@ def train_translation(triples: DataFrame, configs: list[dict], most_triples: int
             e /= np.linalg.norm(e, axis=1, keepdims=True)
         return pd.DataFrame({"config": key[0], "node_id": nodes, "v": list(e)})
 
-    return grid.join(part, how="cross").groupBy("config").applyInPandas(train, "config int, node_id string, v array<double>")
+    trained = grid.join(part, how="cross").groupBy("config").applyInPandas(train, "config int, node_id string, v array<double>")
+    if share >= 1:
+        return trained
+    ends = triples.select(F.col("head").alias("node_id")).unionByName(triples.select(F.col("tail").alias("node_id"))).distinct()
+    width = F.create_map(*(F.lit(x) for i, c in enumerate(configs) for x in (i, ({"dim": 16} | c)["dim"])))[F.col("config")]
+    first = F.transform(F.sequence(F.lit(1), width), lambda i: F.pmod(F.xxhash64("node_id", i), F.lit(2001)) / 1000.0 - 1.0)
+    every = grid.select("config").join(ends, how="cross").join(trained.withColumnRenamed("v", "_v"), ["config", "node_id"], "left")
+    return every.select("config", "node_id", F.coalesce("_v", unit(first)).alias("v"))
 
 
 # link prediction, fusion ----------------------------------------------------------------------------------

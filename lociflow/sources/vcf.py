@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def read_header(spark: SparkSession, path: str) -> dict:
-    """File format, contigs, INFO and FORMAT ids and the samples, from the header lines alone."""
-    lines = [r.value for r in spark.read.text(path).where(F.col("value").startswith("#")).limit(100_000).collect()]
-    ident = lambda kind: [x.split("ID=", 1)[1].split(",")[0].split(">")[0] for x in lines if x.startswith(f"##{kind}=<") and "ID=" in x]
-    names = next((x.split("\t") for x in lines if x.startswith("#CHROM")), [])
+    """File format, contigs, INFO, FORMAT and FILTER definitions and the samples, from the header lines alone, however many."""
+    value = F.col("value")
+    text = spark.read.text(path)
+    names = text.where(value.startswith("#CHROM")).select(F.split("value", "\t").alias("f")).first()
+    kinds = ("contig", "INFO", "FORMAT", "FILTER")
+    wanted = value.startswith("##fileformat=")
+    for k in kinds:
+        wanted = wanted | value.startswith(f"##{k}=<")
+    lines = [r.value for r in text.where(wanted).toLocalIterator()]  # definitions, not data
+    fields = {k: [dict(re.findall(r'(\w+)=("(?:[^"\\]|\\.)*"|[^,>]*)', x.split("=<", 1)[1])) for x in lines if x.startswith(f"##{k}=<")] for k in kinds}
+    defined = {k: [{n: v.strip('"') for n, v in d.items()} for d in of if "ID" in d] for k, of in fields.items()}
     version = next((x.split("=", 1)[1] for x in lines if x.startswith("##fileformat=")), None)
-    return {"fileformat": version, "contigs": ident("contig"), "info": ident("INFO"), "format": ident("FORMAT"), "samples": names[9:]}
+    ids = {k: [d["ID"] for d in of] for k, of in defined.items()}
+    return {"fileformat": version, "contigs": ids["contig"], "info": ids["INFO"], "format": ids["FORMAT"], "filters": ids["FILTER"], "definitions": defined, "samples": names.f[9:] if names else []}
 
 
 def info_map(text: Column) -> Column:

@@ -10,14 +10,10 @@ from lociflow.sources.reject_csv import parse_lines
 
 def reject_counts(lines: DataFrame, time_col: str = "received_at", late: str = "1 day", window: str = "1 day", id_col: str = "record_id") -> DataFrame:
     """window start, feed, reason, n of a stream (or table) of raw lines; lines later than ``late`` are left out of a
-    stream's closed windows. The time travels through the parser as part of the id column's row."""
-    ids = lines.select(F.col(id_col).alias("_id"), F.col(time_col).alias("_t"))
-    bad = parse_lines(lines, id_col).select(F.col(id_col).alias("_id"), "feed", F.explode("reasons").alias("reason"))
-    if lines.isStreaming:  # both sides are bounded in time by the watermark
-        joined = ids.withWatermark("_t", late).join(bad, "_id")
-    else:
-        joined = ids.join(bad, "_id")
-    return joined.groupBy(F.window("_t", window), "feed", "reason").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "feed", "reason", "n")
+    stream's closed windows. The time travels through the parser with its line, so the only state is that of the windows."""
+    bad = parse_lines(lines, id_col, carry=(time_col,)).select(F.col(time_col).alias("_t"), "feed", F.explode("reasons").alias("reason"))
+    bad = bad.withWatermark("_t", late) if lines.isStreaming else bad
+    return bad.groupBy(F.window("_t", window), "feed", "reason").agg(F.count(F.lit(1)).alias("n")).select(F.col("window.start").alias("start"), "feed", "reason", "n")
 
 
 def split_stream(lines: DataFrame, good_path: str, bad_path: str, id_col: str = "record_id"):

@@ -53,6 +53,9 @@ def test_streamed_lines(spark, tmp_path):
     assert {(r.reason, r.n) for r in reject_counts(df).collect()} == {("column_count", 1), ("pli", 1)}
     df.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    counted = reject_counts(stream).writeStream.format("memory").queryName("rejected").outputMode("complete").trigger(availableNow=True).start()
+    counted.awaitTermination(120)
+    assert {(r.reason, r.n) for r in spark.table("rejected").collect()} == {("column_count", 1), ("pli", 1)}
     q = split_stream(stream, str(tmp_path / "good"), str(tmp_path / "bad")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "good")).count() == 1 and spark.read.parquet(str(tmp_path / "bad")).count() == 2

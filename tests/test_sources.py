@@ -77,3 +77,12 @@ def test_graph_sinks(spark, tmp_path):
     n, e = T.read_graph(spark, str(tmp_path / "g"))
     assert n.count() == 2 and e.first().weight == 0.5
     assert [r.value for r in T.cypher(nodes, edges).orderBy("step", "value").collect()][-1] == "MATCH (a {id: 'a'}), (b {id: 'b\\''}) CREATE (a)-[:x {weight: 0.5}]->(b);"
+
+
+def test_long_vcf_header_keeps_its_samples(spark, tmp_path):
+    p = tmp_path / "long.vcf"
+    head = ["##fileformat=VCFv4.2", *(f"##contig=<ID=c{i},length=9>" for i in range(120_000)), '##INFO=<ID=DP,Number=1,Type=Integer,Description="Depth, all reads">', "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\tS2"]
+    p.write_text("\n".join([*head, "c1\t5\t.\tA\tC\t9\tPASS\tDP=3\tGT\t0/1\t0/0"]) + "\n")
+    h = vcf.read_header(spark, str(p))
+    assert h["samples"] == ["S1", "S2"] and len(h["contigs"]) == 120_000 and h["definitions"]["INFO"] == [{"ID": "DP", "Number": "1", "Type": "Integer", "Description": "Depth, all reads"}]
+    assert [r.sample_id for r in vcf.read(spark, str(p)).collect()] == ["S1"]
