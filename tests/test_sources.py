@@ -86,3 +86,30 @@ def test_long_vcf_header_keeps_its_samples(spark, tmp_path):
     h = vcf.read_header(spark, str(p))
     assert h["samples"] == ["S1", "S2"] and len(h["contigs"]) == 120_000 and h["definitions"]["INFO"] == [{"ID": "DP", "Number": "1", "Type": "Integer", "Description": "Depth, all reads"}]
     assert [r.sample_id for r in vcf.read(spark, str(p)).collect()] == ["S1"]
+
+
+def test_site_scores_and_drug_files(spark, tmp_path):
+    import json
+
+
+    from lociflow.sources import tables as T
+
+    (tmp_path / "cadd.tsv").write_text("## a comment\n#Chrom\tPos\tRef\tAlt\tRawScore\tPHRED\n1\t5\tA\tC\t0.1\t20.5\nchr1\t5\tA\tC\t0.1\t21\n2\tx\tA\tC\t0\t1\n")
+    v = spark.createDataFrame([("chr1", 5, "A", "C"), ("chr1", 5, "A", "G")], "chrom string, pos bigint, ref string, alt string")
+    got = T.with_site_score(v, T.read_site_scores(spark, str(tmp_path / "cadd.tsv"), "PHRED"), "cadd").collect()
+    assert {(r.alt, r.cadd) for r in got} == {("C", 21.0), ("G", None)}
+    drugs = spark.createDataFrame([("d1", "one", "approved", "m")], "candidate_id string, name string, status string, mechanism string")
+    (tmp_path / "sets.csv").write_text("drug_id,pathway_id\nd1,p1\nd2,p1\nd2,p1\n,p3\n")
+    e, every = T.read_drug_sets(spark, str(tmp_path / "sets.csv"), drugs)
+    assert e.count() == 2 and {(r.candidate_id, r.status) for r in every.collect()} == {("d1", "approved"), ("d2", "unknown")}
+    (tmp_path / "rel.csv").write_text("drug_id,asd_relevance_score\nd1,1.7\n")
+    assert {(r.candidate_id, r.relevance) for r in T.read_relevance(spark, str(tmp_path / "rel.csv"), every).collect()} == {("d1", 1.0), ("d2", 0.0)}
+    (tmp_path / "d.json").write_text(json.dumps({"drugs": [{"drug_id": "d1", "drug_name": "one", "status": "Approved", "mechanism": None, "targets": ["G1"]}, {"drug_id": "d2"}]}))
+    j = T.read_drugs_json(spark, str(tmp_path / "d.json"))
+    T.write_drugs_json(j, str(tmp_path / "out"))
+    assert sorted(map(str, T.read_drugs_json(spark, str(tmp_path / "out")).collect())) == sorted(map(str, j.collect())) and j.count() == 2
+    edges = spark.createDataFrame([("a", "b", "x", 1.0), ("a", "b", "y", 2.0), ("a", "c", "x", 1.0)], "src string, dst string, edge_type string, weight double")
+    index = spark.createDataFrame([("a", 0), ("b", 1), ("c", 2)], "node_id string, idx bigint")
+    T.write_node_index(index, str(tmp_path / "idx"))
+    assert [(r.row, r.columns, r.weights) for r in T.adjacency(edges, T.read_node_index(spark, str(tmp_path / "idx"))).collect()] == [(0, [1, 2], [3.0, 1.0])]
+    assert T.edge_index(edges, index).count() == 3
