@@ -21,7 +21,7 @@ RANGES = {
     "fit_kmeans": {"label": (0, 3)}, "fit_gmm": {"label": (0, 9), "probability": (0, 1)}, "fit_ward": {"label": (0, 3)}, "fit_spectral": {"label": (0, 3)}, "fit_methods": {"label": (0, 3)},
     "fit_consensus": {"label": (0, 3)}, "stability_records": {"stability": (0, 1)}, "stability_bootstrap": {"ari": (-1, 1), "nmi": (0, 1)}, "stability_best_k": {"mean_ari": (-1, 1)},
     "control_suite": {"p_value": (0, 1), "observed": (-1, 1)}, "conf_report": {"p_value": (0, 1)}, "clu_pvalues": {"p_value": (0, 1), "q_value": (0, 1)}, "gnn_train": {"auc": (0, 1)},
-    "p1_neighbors": {"similarity": (-1, 1), "rank": (1, 3)}, "p6_fill": {"fill": (0.9, 1)}, "p8_segments": {"confidence": (0, 1)}, "p7_items": {"longest_match": (4, 10_000)},
+    "p1_neighbors": {"similarity": (-1, 1), "rank": (1, 3)}, "p6_fill": {"fill": (0, 1)}, "p8_segments": {"confidence": (0, 1)}, "p7_items": {"longest_match": (4, 10_000)},
 }
 
 
