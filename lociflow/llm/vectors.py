@@ -119,17 +119,18 @@ def _assign(dim: int, ca: np.ndarray, cb: np.ndarray, reach: float):
 def _score(dim: int, k: int, least: float):
     """Rows sorted by block, members first: hold a block's members, stream its queries."""
 
-    def top(ids, names, q, m, s):
-        """The k best (query, member, similarity) of each query: by similarity, then id."""
-        order = np.lexsort((names[m], -s, q))
+    def top(ids, names, place, q, m, s):
+        """The k best (query, member, similarity) of each query: by similarity, then id, whose place in order is given."""
+        order = np.lexsort((place[m], -s, q))
         q, m, s = q[order], m[order], s[order]
         first = np.r_[0, np.flatnonzero(np.diff(q)) + 1] if len(q) else np.array([], int)
         rank = np.arange(len(q)) - np.repeat(first, np.diff(np.r_[first, len(q)]))
         w = rank < k
         return pa.RecordBatch.from_arrays([pa.array(ids[q[w]], pa.string()), pa.array(names[m[w]], pa.string()), pa.array(s[w].astype(np.float64))], names=["id", "other", "sim"])
 
-    def answer(names, cells, vecs, batch):
+    def answer(names, cells, vecs, place, row_of, batch):
         ids = np.array(batch.column("id").to_pylist(), object)
+        own = np.array([row_of.get(i, -1) for i in ids])
         js = batch.column("js")
         counts = np.asarray(js.value_lengths())
         flat, of = np.asarray(js.flatten()), np.repeat(np.arange(len(ids)), counts)
@@ -145,7 +146,8 @@ def _score(dim: int, k: int, least: float):
             for z in range(lo, hi, 2048):
                 who = of[z : min(z + 2048, hi)]
                 s = x[who] @ vecs[a:e].T
-                s[names[a:e][None, :] == ids[who][:, None]] = -9
+                self_ = np.flatnonzero((own[who] >= a) & (own[who] < e))
+                s[self_, own[who[self_]] - a] = -9
                 if e - a > k:  # the k-th best of the row bounds what can matter; ties stay
                     s[s < -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]] = -9
                 p, m = np.nonzero(s >= least)
@@ -153,7 +155,7 @@ def _score(dim: int, k: int, least: float):
                 ms.append(m + a)
                 ss.append(s[p, m])
         if qs:
-            yield top(ids, names, np.concatenate(qs), np.concatenate(ms), np.concatenate(ss))
+            yield top(ids, names, place, np.concatenate(qs), np.concatenate(ms), np.concatenate(ss))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block, held, ready = None, [], None
@@ -172,7 +174,10 @@ def _score(dim: int, k: int, least: float):
                     if ready is None:
                         j = np.concatenate([h[1] for h in held])
                         o = np.argsort(j, kind="stable")
-                        ready = np.array([n for h in held for n in h[0]], object)[o], j[o], np.concatenate([h[2] for h in held])[o]
+                        names = np.array([n for h in held for n in h[0]], object)[o]
+                        place = np.empty(len(names), np.int64)
+                        place[np.argsort(names)] = np.arange(len(names))
+                        ready = names, j[o], np.concatenate([h[2] for h in held])[o], place, {n: i for i, n in enumerate(names)}
                     yield from answer(*ready, part)
 
     return run
