@@ -130,7 +130,8 @@ def variant_profile(spark: SparkSession, sf: str) -> DataFrame:
 
 @R.add("variant_region", f"WITH {SQL_ROWS} SELECT chrom, pos, ref, alt, sample_id, gene FROM t WHERE chrom = 'chr7' AND pos BETWEEN 20000000 AND 90000000")
 def variant_region(spark: SparkSession, sf: str) -> DataFrame:
-    return rows(spark, sf).where("chrom = 'chr7' AND pos BETWEEN 20000000 AND 90000000").select("chrom", "pos", "ref", "alt", "sample_id", "gene")
+    near = table(spark, sf, "variants").where("chrom IN ('chr7', '7') AND pos BETWEEN 20000000 AND 90000000")  # both styles, pushed to the scan
+    return V.typed(near).select("chrom", "pos", "ref", "alt", "sample_id", "gene")
 
 
 @R.add("info_parse", f"WITH {SQL_ROWS} SELECT chrom, pos, ref, alt, sample_id, depth, af, gene, consequence, cadd FROM t WHERE depth IS NOT NULL OR af IS NOT NULL")
