@@ -8,11 +8,12 @@ differences that spread over d dimensions 9 / d is enough (three standard deviat
 Entries of the visited cells are reranked by exact cosine.
 
 Scale: the codebooks grow with the square root of the rows and are fit on a bounded sample (8 rows per centroid, at
-least 16,384 and at most ``sample_rows``, by hash order), every row is indexed. A query
-travels once per first-half centroid that it visits, with the list of second halves. The rows of one centroid are
-cut into blocks of ``block_rows`` members, and its queries into as many parts, so a hot cell is many tasks; a
-task holds one block of members and streams its queries. Equal vectors are one entry; what is said of a class is
-handed to its members by a join. Nothing but the sample and 2 K counts reaches the driver.
+least 16,384 and at most ``sample_rows``, by hash order), every row is indexed. First-half
+centroids near each other make a group of at most about ``block_rows`` members; a query travels once per group that it
+visits, with the numbers of the cells there. A fuller group (one hot centroid) is cut into blocks of ``block_rows``
+members, and its queries into as many parts, so a hot cell is many tasks; a task holds one block of members and streams
+its queries. Equal vectors are one entry; what is said of a class is handed to its members by a join. Nothing but the
+sample and a count per group reaches the driver.
 
 Defined results: an id counts once (its latest row by the order columns); vectors that are null, of another
 length, not finite or all zero take no part; magnitudes do not matter; neighbours are ordered by similarity,
@@ -99,8 +100,28 @@ def walk(a: np.ndarray, b: np.ndarray, reach: float) -> dict[int, list[int]]:
     return out
 
 
-def _assign(dim: int, ca: np.ndarray, cb: np.ndarray, reach: float):
-    half = dim // 2
+def neighbourhoods(c: np.ndarray, weight: np.ndarray, most: float) -> np.ndarray:
+    """A group number for each centroid: halved along the axis of most spread until a group weighs most or is one centroid."""
+    out, todo, made = np.zeros(len(c), np.int32), [np.arange(len(c))], 0
+    while todo:
+        at = todo.pop()
+        if len(at) == 1 or weight[at].sum() <= most:
+            out[at], made = made, made + 1
+            continue
+        order = at[np.argsort(c[at] @ np.linalg.svd(c[at] - c[at].mean(0), full_matrices=False)[2][0], kind="stable")]
+        half = int(np.clip(np.searchsorted(np.cumsum(weight[order]), weight[order].sum() / 2), 1, len(at) - 1))
+        todo += [order[:half], order[half:]]
+    return out
+
+
+def _assign(dim: int, ca: np.ndarray, cb: np.ndarray, reach: float, group: np.ndarray):
+    half, k = dim // 2, len(cb)
+
+    def visited(a: np.ndarray, b: np.ndarray) -> list[dict]:
+        by: dict[int, list[int]] = {}
+        for i, js in walk(a, b, reach).items():
+            by.setdefault(int(group[i]), []).extend(i * k + j for j in js)
+        return [{"i": g, "js": cells} for g, cells in by.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -109,9 +130,9 @@ def _assign(dim: int, ca: np.ndarray, cb: np.ndarray, reach: float):
                 x = _matrix(part.column("vec"), dim)
                 (i, a), (j, c) = _borders(x[:, :half], ca), _borders(x[:, half:], cb)
                 asks = part.column("asks").to_pylist()
-                visits = [[{"i": k, "js": v} for k, v in walk(a[r], c[r], reach).items()] if asks[r] else [] for r in range(len(x))]
-                kind = pa.list_(pa.struct([("i", pa.int32()), ("js", pa.list_(pa.int32()))]))
-                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(visits, kind)], names=["id", "vec", "i", "j", "visits"])
+                visits = [visited(a[r], c[r]) if asks[r] else [] for r in range(len(x))]
+                kind = pa.list_(pa.struct([("i", pa.int32()), ("js", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("vec"), pa.array(group[i], pa.int32()), pa.array(i.astype(np.int64) * k + j, pa.int64()), pa.array(visits, kind)], names=["id", "vec", "i", "j", "visits"])
 
     return run
 
@@ -203,15 +224,17 @@ def nearest(units: DataFrame, k: int, dim: int, min_similarity: float | None = N
     least = -1.1 if min_similarity is None else min_similarity
     reach = reach if reach is not None else slack * 2 * (1 - least)
 
-    schema = "id string, vec binary, i int, j int, visits array<struct<i:int,js:array<int>>>"
-    placed = cut(classes.select("id", "vec", "asks").mapInArrow(_assign(dim, ca, cb, reach), schema))
+    own = (2 * x[:, : dim // 2] @ ca.T - (ca * ca).sum(1)).argmax(1)
+    group = neighbourhoods(ca, np.bincount(own, minlength=size) * n / len(x), 0.7 * block_rows)
+    schema = "id string, vec binary, i int, j bigint, visits array<struct<i:int,js:array<bigint>>>"
+    placed = cut(classes.select("id", "vec", "asks").mapInArrow(_assign(dim, ca, cb, reach, group), schema))
     parts = {r.i: -(-r.n // block_rows) for r in placed.groupBy("i").agg(F.count(F.lit(1)).alias("n")).collect() if r.n > block_rows}  # at most K rows
     cutting = F.coalesce(F.create_map(*(F.lit(v) for p in parts.items() for v in p))[F.col("i")], F.lit(1)) if parts else F.lit(1)
     salt = lambda seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.col("p")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("p") - 1))
     name = F.concat_ws(":", "i", "m", "q").alias("block")
-    members = placed.select("id", "vec", "i", "j", cutting.alias("p")).select("*", salt(1).alias("m"), every.alias("q")).select(name, F.lit(0).alias("kind"), "id", "vec", "j", F.lit(None).cast("array<int>").alias("js"))
-    queries = placed.select("id", "vec", F.inline("visits")).select("*", cutting.alias("p")).select("*", salt(2).alias("q"), every.alias("m")).select(name, F.lit(1).alias("kind"), "id", "vec", F.lit(None).cast("int").alias("j"), "js")
+    members = placed.select("id", "vec", "i", "j", cutting.alias("p")).select("*", salt(1).alias("m"), every.alias("q")).select(name, F.lit(0).alias("kind"), "id", "vec", "j", F.lit(None).cast("array<bigint>").alias("js"))
+    queries = placed.select("id", "vec", F.inline("visits")).select("*", cutting.alias("p")).select("*", salt(2).alias("q"), every.alias("m")).select(name, F.lit(1).alias("kind"), "id", "vec", F.lit(None).cast("long").alias("j"), "js")
     scored = members.unionByName(queries).transform(together, "block", "kind").mapInArrow(_score(dim, k, least), "id string, other string, sim double")
     by_sim = Window.partitionBy("id").orderBy(F.desc("sim"), "other")
     best = scored.withColumn("rank", F.row_number().over(by_sim)).where(F.col("rank") <= k)
