@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import MapType
 
+from lociflow.session import cut
+
 
 @dataclass(frozen=True)
 class Numeric:
@@ -130,7 +132,7 @@ def fill_missing(df: DataFrame, fields: list[Numeric | Categorical], levels: lis
     clash = set(added) & set(df.columns)
     if clash:
         raise ValueError(f"columns already present: {sorted(clash)}")
-    rows = distinct_rows(df)
+    rows = cut(distinct_rows(df))  # every level reads it
     missing = F.lit(False)
     for w in fields:
         missing = missing | w.valid().isNull()
