@@ -274,22 +274,37 @@ def batches(rows: DataFrame, size: int) -> DataFrame:
 
 
 def fuse_pca(a: DataFrame, b: DataFrame, k: int | None = None, share: float = 0.95) -> DataFrame:
-    """id, v: both vectors one after the other, on their first k principal axes, or on as many as hold a share of the variance."""
-    from pyspark.ml.feature import PCA
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    """id, v: both vectors one after the other, on their first k principal axes, or on as many as hold a share of the variance.
 
-    x = fuse_concat(a, b)
+    The axes are the eigenvectors of the scatter matrix, which is symmetric: that always converges, the singular values
+    of pyspark.ml's PCA need not. Each batch adds its part of the matrix; an axis points to where its largest entry is positive.
+    """
+    from collections.abc import Iterator
+
+    import numpy as np
+    import pyarrow as pa
+
+    from lociflow.operators.gnn import linear
+
+    x = fuse_concat(a, b).withColumn("v", F.col("v").cast("array<double>"))
     dim = len(x.first()["v"])
-    mean = x.agg(F.array(*(F.avg(F.col("v")[i]) for i in range(dim))).alias("m"))
-    x = x.crossJoin(F.broadcast(mean)).select("id", array_to_vector(F.zip_with("v", "m", lambda p, q: p - q)).alias("x"))
-    model = PCA(k=k or dim, inputCol="x", outputCol="y").fit(x)
+    mean = np.array(x.agg(F.array(*(F.avg(F.col("v")[i]) for i in range(dim))).alias("m")).first()["m"])
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((dim, dim))
+        for batch in batches:
+            y = np.asarray(batch.column("v").flatten(), float).reshape(-1, dim) - mean
+            total += y.T @ y
+        yield pa.RecordBatch.from_arrays([pa.array(range(dim), pa.int32()), pa.array(list(total), pa.list_(pa.float64()))], names=["i", "r"])
+
+    rows = x.select("v").mapInArrow(scatter, "i int, r array<double>").groupBy("i").agg(F.array(*(F.sum(F.col("r")[j]) for j in range(dim))).alias("r"))
+    variance, axes = np.linalg.eigh(np.array([r["r"] for r in rows.sort("i").collect()]))
+    variance, axes = np.maximum(variance[::-1], 0), axes[:, ::-1]
+    axes = axes * np.sign(axes[np.abs(axes).argmax(0), np.arange(dim)])
     if k is None:
-        held, k = 0.0, 0
-        for e in model.explainedVariance:
-            held, k = held + e, k + 1
-            if held >= share:
-                break
-    return model.transform(x).select("id", F.slice(vector_to_array("y"), 1, k).alias("v"))
+        held = np.cumsum(variance) / (variance.sum() or 1.0)
+        k = int((held < share).sum()) + 1 if held[-1] >= share else dim
+    return linear(x, axes[:, :k].tolist(), (-mean @ axes[:, :k]).tolist())
 
 
 def fuse_attention(sources: list[DataFrame]) -> DataFrame:
