@@ -25,7 +25,7 @@ R = Registry()
 r6 = KN.r6
 DIM = KN.DIM
 SQL_U = f"{KN.SQL_VEC}, u AS (SELECT id, label, generate_subscripts(v, 1) AS i, unnest(v) AS x FROM v)"
-r4 = lambda c: F.transform(c, lambda x: F.round(x + 0.0, 4))
+r4 = lambda c: F.transform(c, lambda x: F.when(F.round(x, 4) == 0, x * 0.0).otherwise(F.round(x, 4)))  # noqa: E731  # a zero keeps its sign, as in SQL
 
 # clusterings ---------------------------------------------------------------------------------------------------
 
