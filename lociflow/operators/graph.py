@@ -136,6 +136,30 @@ def random_walk(start: DataFrame, edges: DataFrame, restart: float = 0.5, rounds
     return p
 
 
+def walk_by_set(start: DataFrame, edges: DataFrame, membership: DataFrame, restart: float = 0.5, rounds: int = 3) -> DataFrame:
+    """key, pathway_id, score: random_walk's scores of so many rounds, summed over the nodes of each set of membership
+    (pathway_id, node_id).
+
+    The sum is linear in where a key starts, so the sets walk backwards, all in one array per node, and what they bring
+    to a node is weighed by the keys' starts: no key is spread over the network. Sets are a bounded list.
+    """
+    of = membership.where("pathway_id IS NOT NULL AND node_id IS NOT NULL")
+    sets = sorted(r.pathway_id for r in of.select("pathway_id").distinct().collect())
+    if not sets:
+        return start.sparkSession.createDataFrame([], start.select("key", F.lit("").alias("pathway_id"), F.lit(0.0).alias("score")).schema)
+    added_up = lambda w: F.array(*(F.sum(F.col("v")[i] * w) for i in range(len(sets)))).alias("v")
+    m = cut(walk_matrix(edges))
+    own = cut(of.groupBy("node_id").agg(F.array(*(F.count(F.when(F.col("pathway_id") == p, 1)).cast("double") for p in sets)).alias("v")))
+    back, g = own.select("node_id", "v", F.lit(restart).alias("w")), own
+    for _ in range(rounds):
+        steps = m.join(g.withColumnRenamed("node_id", "dst"), "dst").select(F.col("src").alias("node_id"), "v", (F.col("w") * (1 - restart)).alias("w"))
+        g = cut(steps.unionByName(back).groupBy("node_id").agg(added_up(F.col("w"))))
+    total = start.groupBy("key").agg(F.sum("score").alias("t")).where("t > 0")
+    out = start.join(g, "node_id").groupBy("key").agg(added_up(F.col("score"))).join(total, "key")
+    named = F.arrays_zip(F.array(*map(F.lit, sets)).alias("pathway_id"), F.col("v").alias("s"))
+    return out.select("key", "t", F.inline(named)).where("s > 0").select("key", "pathway_id", (F.col("s") / F.col("t")).alias("score"))
+
+
 def diffusion(start: DataFrame, edges: DataFrame, t: float = 0.1, terms: int = 3, normalised: bool = False) -> DataFrame:
     """exp(-t L) p0 by so many terms of its series; normalised: the insulated form."""
     m = laplacian_matrix(edges, normalised)

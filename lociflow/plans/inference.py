@@ -438,7 +438,5 @@ def norm_several(spark: SparkSession, sf: str) -> DataFrame:
 def prop_burdens(spark: SparkSession, sf: str) -> DataFrame:
     """Every sample's burdens spread over the network by three steps of a walk, then scored by set."""
     b = Q.burdens(spark, sf).select(F.col("sample_id").alias("key"), F.col("gene").alias("node_id"), "score")
-    spread = G.random_walk(b, KN.graph(spark, sf)[1], 0.5, 3)
-    m = Q.membership(spark, sf).withColumnRenamed("gene", "node_id")
-    scored = spread.join(m, "node_id").groupBy(F.col("key").alias("sample_id"), "pathway_id").agg(F.sum("score").alias("score"))
-    return r6(scored, "score")
+    scored = G.walk_by_set(b, KN.graph(spark, sf)[1], Q.membership(spark, sf).withColumnRenamed("gene", "node_id"), 0.5, 3)
+    return r6(scored.withColumnRenamed("key", "sample_id"), "score")
