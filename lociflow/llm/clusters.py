@@ -11,20 +11,18 @@ one after another gives, because the linkage is reducible.
    is cut by further dimensions; what is too full in all of them counts as linked. Nothing is merged before this
    graph is complete.
 3. Its connected components share no pair within the threshold, so each is clustered on its own: one of at most
-   ``block`` clusters in one task, round by round, until no mutual best pair is within the threshold.
+   ``block`` clusters in one task, round by round, until no mutual best pair is within the threshold; more than FULL_ROWS
+   without the matrix of their distances.
 4. In a larger component with few pairs (``most_pairs`` a cluster) Spark rounds merge all mutual best pairs of the
    whole graph and carry its edges over; a merged cluster is never nearer to a third one than its nearer part, so no
-   edge can be missing. 3 and 4 are exact, as is 1.
-5. A larger component that is dense is thinned first: its clusters, in the order of a projection, are cut into blocks
-   that merge mutual best pairs until half are left; the next pass cuts along another projection. What is left goes
-   back to 2. If passes no longer merge, 4 takes the rest.
+   edge can be missing.
+5. In a larger component that is dense Spark rounds find every cluster's nearest one by comparing all of them, blocks
+   against blocks, without keeping pairs, and merge all mutual best pairs, until the component fits into a task.
 
-Where groups are clear (within the threshold inside, beyond it outside) the result is exactly those groups, as passes
-merge within the threshold only; elsewhere it is exact but for dense components of more than ``block`` clusters.
+All of these are exact and differ in cost only, so the result does not depend on the size of the input or of a block.
 
-Scale: no pairs of a full cell or of a group are listed; a third of all rows in one group is thinned by a constant
-share in each pass, in blocks. Only counts and the variances of the dimensions reach the driver; each step is cut by
-a checkpoint.
+Scale: no pairs of a full cell or of a dense component are listed, but a dense component's clusters are compared, which
+is quadratic. Only counts and the variances of the dimensions reach the driver; each step is cut by a checkpoint.
 
 Defined results: ids count once (identical rows); vectors that are null, of another length or hold a null or a
 value that is not finite take no part; equal vectors merge; ties in distance go to the smaller ids; the
@@ -40,11 +38,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from lociflow.llm.sampling import together
-from lociflow.session import cut
+from lociflow.session import cut, forget
 
-GRID_DIMS, CELL_ROWS, PASS_PARTS = 4, 8192, 256
+GRID_DIMS, CELL_ROWS, BLOCK_ROWS, FULL_ROWS = 4, 8192, 8192, 2048
 _MERGED = "id bigint, into bigint, n bigint, mean array<double>, w double"
 
 
@@ -105,6 +104,25 @@ def _chain(d: np.ndarray, n: np.ndarray, most: float, merges: int) -> np.ndarray
     return into
 
 
+def _bests(n: np.ndarray, mean: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each row's nearest row and its squared distance, without the matrix of all distances."""
+    sq, spread, best, far = (mean**2).sum(1), w / n, np.empty(len(n), np.int64), np.empty(len(n))
+    step = max(1, 4_000_000 // len(n))
+    for lo in range(0, len(n), step):
+        at = np.arange(lo, min(lo + step, len(n)))
+        d = mean[at] @ mean.T
+        d *= -2
+        d += sq[at][:, None]
+        d += sq
+        np.maximum(d, 0, out=d)
+        d += spread[at][:, None]
+        d += spread
+        d[at - lo, at] = np.inf
+        best[at] = d.argmin(1)
+        far[at] = d[at - lo, best[at]]
+    return best, far
+
+
 def link(n: np.ndarray, mean: np.ndarray, w: np.ndarray, most: float, least: int = 1) -> np.ndarray:
     """Mutual best pairs of one block, merged up to the squared distance most until so few clusters are left: each row's
     cluster. All pairs of a round merge at once; where rounds find few, as many rows have one nearest row, pairs merge
@@ -113,14 +131,21 @@ def link(n: np.ndarray, mean: np.ndarray, w: np.ndarray, most: float, least: int
     live = label.copy()
     n, mean, w = n.astype(float), mean.copy(), w.copy()
     while len(live) > least:
-        d = _distances(n[live], mean[live], w[live])
-        best = d.argmin(1)
-        at = np.arange(len(live))
-        a = np.flatnonzero((best[best] == at) & (at < best) & (d[at, best] <= most))
+        full, at = len(live) <= FULL_ROWS, np.arange(len(live))
+        if full:
+            d = _distances(n[live], mean[live], w[live])
+            best = d.argmin(1)
+            far = d[at, best]
+        else:
+            best, far = _bests(n[live], mean[live], w[live])
+        a = np.flatnonzero((best[best] == at) & (at < best) & (far <= most))
+        if not len(a) and not full and far.min() <= most:  # rounding hid the nearest pair
+            i = int(far.argmin())
+            a, best[min(i, best[i])] = np.array([min(i, best[i])]), max(i, best[i])
         if not len(a):
             break
         into = np.arange(len(label))
-        if len(a) < 0.05 * len(live):
+        if full and len(a) < 0.05 * len(live):
             into[live] = live[_chain(d, n[live], most, len(live) - least)]
             return into[label]
         x, y = live[a], live[best[a]]
@@ -130,7 +155,9 @@ def link(n: np.ndarray, mean: np.ndarray, w: np.ndarray, most: float, least: int
         n[x] = both
         into[y] = x
         label = into[label]
-        live = np.delete(live, best[a])
+        stay = far <= most  # the others are done, whatever merges
+        stay[best[a]] = False
+        live = live[stay] if not full else np.delete(live, best[a])
     return label
 
 
@@ -217,11 +244,11 @@ def _pairs(most: float, dim: int, count: bool) -> Callable:
     return _by_group("cell", dim, ("home",), done)
 
 
-def _merges(most: float, dim: int, share: float = 0.0) -> Callable:
-    """The link of each group, until a share of its clusters is left; rows of a group ascend by id, so the row a cluster is called by has the smallest."""
+def _merges(most: float, dim: int) -> Callable:
+    """The link of each group; rows of a group ascend by id, so the row a cluster is called by has the smallest."""
 
     def done(ids, mean, n, w):
-        label = link(n, mean, w, most, max(1, int(len(n) * share)))
+        label = link(n, mean, w, most)
         keep, inverse = np.unique(label, return_inverse=True)
         size = np.bincount(inverse, n)
         total = np.zeros((len(keep), dim))
@@ -250,10 +277,11 @@ def _cells(clusters: DataFrame, dims: list[int], threshold: float) -> tuple[list
             x = F.col("mean")[d]
             to = F.sequence(F.floor((x - threshold) / width).cast("long"), F.floor((x + threshold) / width).cast("long"))
             rows = rows.withColumn("c", F.explode(to)).select(F.xxhash64("cell", "c").alias("cell"), (F.col("home") & (F.col("c") == F.floor(x / width))).alias("home"), "id", "mean")
-        counts = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("k"), F.max("home").alias("any")).where("any AND k > 1")
-        rows = cut(rows.join(counts, "cell").drop("any"))
-        out.append(rows.where(F.col("k") <= CELL_ROWS).drop("k"))
-        rows = rows.where(F.col("k") > CELL_ROWS).drop("k")
+        of = Window.partitionBy("cell")  # without the vectors: most copies are in cells that are nobody's
+        slim = rows.select("cell", "home", "id").withColumns({"k": F.count(F.lit(1)).over(of), "any": F.max("home").over(of)})
+        slim = cut(slim.where("any AND k > 1").drop("any"))
+        out.append(slim.where(F.col("k") <= CELL_ROWS).drop("k").join(clusters.select("id", "mean"), "id"))
+        rows = slim.where(F.col("k") > CELL_ROWS).drop("k").join(clusters.select("id", "mean"), "id").select("cell", "home", "id", "mean")
         if rows.isEmpty():
             return out, None
     return out, rows
@@ -282,6 +310,22 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
+def _mutual(best: DataFrame) -> DataFrame:
+    """into, gone of the pairs that are each other's best (x, y)."""
+    return best.alias("p").join(best.alias("q"), (F.col("p.y") == F.col("q.x")) & (F.col("q.y") == F.col("p.x"))).where("p.x < p.y").select(F.col("p.x").alias("into"), F.col("p.y").alias("gone"))
+
+
+def _joined(clusters: DataFrame, mutual: DataFrame) -> DataFrame:
+    """id, n, mean, w of the clusters that mutual pairs become."""
+    x, y = (clusters.select(*(F.col(c).alias(f"{k}_{c}") for c in ("id", "n", "mean", "w"))) for k in "xy")
+    joined = mutual.join(x, F.col("into") == F.col("x_id")).join(y, F.col("gone") == F.col("y_id")).withColumn("t", F.col("y_n") / (F.col("x_n") + F.col("y_n")))
+    return joined.select(
+        F.col("into").alias("id"), (F.col("x_n") + F.col("y_n")).alias("n"),
+        F.expr("transform(x_mean, (v, i) -> v + (y_mean[i] - v) * t)").alias("mean"),
+        (F.col("x_w") + F.col("y_w") + F.col("x_n") * F.col("t") * _square("x_mean", "y_mean")).alias("w"),
+    )
+
+
 def _rounds(clusters: DataFrame, pairs: DataFrame, most: float) -> DataFrame | None:
     """id, into of the clusters that Spark rounds over all pairs (a, b) within the threshold merge."""
 
@@ -293,15 +337,8 @@ def _rounds(clusters: DataFrame, pairs: DataFrame, most: float) -> DataFrame | N
     edges, moves = distances(pairs.where("a < b")), None
     while not edges.isEmpty():
         ends = edges.select(F.col("a").alias("x"), F.col("b").alias("y"), "d").unionByName(edges.select(F.col("b").alias("x"), F.col("a").alias("y"), "d"))
-        best = ends.groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y"))
-        mutual = cut(best.alias("p").join(best.alias("q"), (F.col("p.y") == F.col("q.x")) & (F.col("q.y") == F.col("p.x"))).where("p.x < p.y").select(F.col("p.x").alias("into"), F.col("p.y").alias("gone")))
-        x, y = (clusters.select(*(F.col(c).alias(f"{k}_{c}") for c in clusters.columns)) for k in "xy")
-        joined = mutual.join(x, F.col("into") == F.col("x_id")).join(y, F.col("gone") == F.col("y_id")).withColumn("t", F.col("y_n") / (F.col("x_n") + F.col("y_n")))
-        new = joined.select(
-            F.col("into").alias("id"), (F.col("x_n") + F.col("y_n")).alias("n"),
-            F.expr("transform(x_mean, (v, i) -> v + (y_mean[i] - v) * t)").alias("mean"),
-            (F.col("x_w") + F.col("y_w") + F.col("x_n") * F.col("t") * _square("x_mean", "y_mean")).alias("w"),
-        )
+        mutual = cut(_mutual(ends.groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y"))))
+        new = _joined(clusters, mutual)
         changed = mutual.select(F.col("gone").alias("id")).unionByName(mutual.select(F.col("into").alias("id")))
         clusters = cut(clusters.join(changed, "id", "left_anti").unionByName(new))
         now = mutual.select(F.col("gone").alias("id"), "into")
@@ -318,21 +355,66 @@ def _moved(owner: DataFrame, of: str, moves: DataFrame) -> DataFrame:
     return owner.join(to, F.col(of) == F.col("_from"), "left").withColumn(of, F.coalesce("_to", of)).select(owner.columns)
 
 
-def _thin(rows: DataFrame, dim: int, most: float, block: int, seed: int) -> DataFrame:
-    """One pass over dense components, rows (part, id, n, mean, w): _MERGED."""
-    direction = np.random.default_rng(seed).normal(size=dim)
-    at = F.aggregate(F.zip_with("mean", F.array(*map(F.lit, map(float, direction))), lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
-    rows = rows.withColumn("at", at)
-    wanted = F.ceil(F.count(F.lit(1)) / block)
-    sizes = rows.groupBy("part").agg(F.greatest(F.lit(1), F.ceil(wanted / PASS_PARTS)).alias("salts"), F.least(F.lit(PASS_PARTS), wanted).cast("int").alias("parts"))
-    rows = rows.join(sizes, "part").withColumn("salt", F.pmod(F.xxhash64("id", F.lit(seed)), F.col("salts")))
-    cuts = rows.groupBy("part").agg(F.percentile_approx("at", [i / PASS_PARTS for i in range(1, PASS_PARTS + 1)], 10 * PASS_PARTS).alias("cuts"))
-    share = F.size(F.filter("cuts", lambda c: c < F.col("at"))) * F.col("parts") / F.lit(PASS_PARTS)
-    blocks = rows.join(cuts, "part").select(F.xxhash64("part", "salt", F.floor(share)).alias("part"), "id", "n", "mean", "w")
-    return cut(blocks.transform(together, "part", "id").mapInArrow(_merges(most, dim, 0.5), _MERGED))
+def _nearest(rows: DataFrame, dim: int, most: float) -> DataFrame:
+    """x, y: the nearest cluster of the same part within the threshold, of rows (part, id, n, mean, w). Parts are cut into
+    blocks; each pair of blocks is a group of its own, whose distances are compared and not kept."""
+
+    def done(ids, mean, home, n, w):
+        sq, spread = (mean**2).sum(1), w / n
+        best, at = np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+
+        def take(i, d, y):
+            less = (d < best[i]) | ((d == best[i]) & (y < at[i]))
+            best[i[less]], at[i[less]] = d[less], y[less]
+
+        home, guests = np.flatnonzero(home), np.flatnonzero(~home)
+        for lo in range(0, len(home), 1024):
+            f = home[lo : lo + 1024]
+            for first in range(0, len(guests), 1024) if len(guests) else range(lo, len(home), 1024):
+                g = (guests if len(guests) else home)[first : first + 1024]
+                d = np.maximum(sq[f][:, None] + sq[g] - 2 * mean[f] @ mean[g].T, 0) + (spread[f][:, None] + spread[g])
+                if f[0] == g[0]:
+                    d = np.minimum(d, d.T)  # the same both ways
+                    np.fill_diagonal(d, np.inf)
+                one, other = d.argmin(1), d.argmin(0)
+                take(f, d[np.arange(len(f)), one], ids[g[one]])
+                take(g, d[other, np.arange(len(g))], ids[f[other]])
+        near = np.flatnonzero(best <= most)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[near]), pa.array(at[near]), pa.array(best[near])], names=["x", "y", "d"])
+
+    blocks = rows.groupBy("part").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).alias("k"))
+    b = rows.join(blocks, "part").withColumn("b", F.pmod(F.xxhash64("id"), F.col("k"))).withColumn("c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)))
+    pairs = b.select(F.xxhash64("part", F.least("b", "c"), F.greatest("b", "c")).alias("cell"), (F.col("b") <= F.col("c")).alias("home"), "id", "mean", "n", "w")
+    found = pairs.transform(together, "cell", "id").mapInArrow(_by_group("cell", dim, ("home", "n", "w"), done), "x bigint, y bigint, d double")
+    return found.groupBy("x").agg(F.min_by("y", F.struct("d", "y")).alias("y"))
+
+
+def _compare(rows: DataFrame, dim: int, most: float, block: int) -> DataFrame:
+    """id, into of what merges in dense components, rows (part, id, n, mean, w): all mutual best pairs of a round at once,
+    found by comparing all clusters, until a component fits into a task."""
+    moves, cols = None, ["part", "id", "n", "mean", "w"]
+    rows = cut(rows.select(cols))
+    while True:
+        near = cut(_nearest(rows, dim, most))
+        mutual = cut(_mutual(near))
+        now = mutual.select(F.col("gone").alias("id"), "into")
+        new = _joined(rows, mutual).join(rows.select("id", "part"), "id")
+        kept = rows.join(near.select(F.col("x").alias("id")), "id", "left_semi")  # the others stay alone, whatever merges
+        kept = kept.join(mutual.select(F.explode(F.array("into", "gone")).alias("id")), "id", "left_anti")
+        left = cut(kept.select(cols).unionByName(new.select(cols)))
+        forget(rows, near)
+        sizes = left.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+        small = left.join(sizes.where(F.col("k") <= block), "part", "left_semi").select(cols)
+        done = small.transform(together, "part", "id").mapInArrow(_merges(most, dim), _MERGED).where("id <> into").select("id", "into")
+        now = cut(_moved(now, "into", cut(done)).unionByName(done))
+        moves = now if moves is None else cut(_moved(moves, "into", now).unionByName(now))
+        rows = cut(left.join(sizes.where(F.col("k") > block), "part", "left_semi").select(cols))
+        forget(left)
+        if rows.isEmpty():
+            return moves
 
 
-def cluster(points: DataFrame, dim: int, threshold: float, block: int = 2048, most_pairs: int = 128) -> DataFrame:
+def cluster(points: DataFrame, dim: int, threshold: float, block: int = 32768, most_pairs: int = 128) -> DataFrame:
     """points (id, v) -> id, cluster_id."""
     most = threshold**2
     same = points.groupBy("v").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n"))
@@ -341,50 +423,31 @@ def cluster(points: DataFrame, dim: int, threshold: float, block: int = 2048, mo
     spread = clusters.select(*(F.coalesce(F.var_pop(F.col("mean")[d]), F.lit(0.0)) for d in range(dim))).first()
     dims = sorted(range(dim), key=lambda d: (-spread[d], d))
 
-    seed, stuck = 0, False
-    while True:
-        cells, full = _cells(clusters, dims, threshold)
-        edges = _in_cells(cells, _trees(most, dim))
-        if full is not None:  # too near to tell apart by the grid
-            edges = edges.unionByName(full.join(full.where("home").groupBy("cell").agg(F.min("id").alias("b")), "cell").select(F.col("id").alias("a"), "b"))
-        rows = cut(clusters.join(components(edges), "id"))  # clusters near to none are done
-        sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
-        small = rows.join(sizes.where(F.col("k") <= block), "part", "left_semi").select("part", "id", "n", "mean", "w")
-        merged = small.transform(together, "part", "id").mapInArrow(_merges(most, dim), _MERGED)
-        owner = cut(_moved(owner, "cluster_id", merged.where("id <> into")))
-        large = rows.join(sizes.where(F.col("k") > block), "part", "left_semi")
-        if large.isEmpty():
-            break
-        cells, full = _cells(large.drop("part"), dims, threshold)
-        few = large.select("part").distinct()
-        if not stuck:
-            if full is not None:
-                few = few.join(large.join(full, "id", "left_semi").select("part").distinct(), "part", "left_anti")
-            degree = _in_cells(cells, _pairs(most, dim, True)).groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("pairs"))
-            few = cut(large.join(few, "part", "left_semi").join(degree, "id", "left").groupBy("part").agg((F.sum("pairs") / F.count(F.lit(1))).alias("mean_pairs")).where(F.coalesce("mean_pairs", F.lit(0)) <= most_pairs).select("part"))
-        sparse = large.join(few, "part", "left_semi").drop("part")
-        if not sparse.isEmpty():
-            pairs = _in_cells(cells, _pairs(most, dim, False))
-            if full is not None and stuck:
-                pairs = pairs.unionByName(_in_cells([full], _pairs(most, dim, False)))
-            moves = _rounds(cut(sparse), pairs.join(sparse.select(F.col("id").alias("a")), "a", "left_semi"), most)
-            owner = owner if moves is None else cut(_moved(owner, "cluster_id", moves))
-        dense = cut(large.join(few, "part", "left_anti"))
-        count = left = dense.count()
-        if not left:
-            break
-        while left:  # until a component fits into a task, or passes merge next to nothing
-            merged = _thin(dense, dim, most, block, seed)
-            seed += 1
-            owner = cut(_moved(owner, "cluster_id", merged.where("id <> into").select("id", "into")))
-            dense = cut(merged.where("id = into").drop("into").join(dense.select("id", "part"), "id"))
-            now = dense.count()
-            if now > 0.95 * left or dense.groupBy("part").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > block).isEmpty():
-                break
-            left = now
-        stuck = now > 0.95 * count
-        clusters = dense.drop("part")
-    return owner
+    cells, full = _cells(clusters, dims, threshold)
+    edges = _in_cells(cells, _trees(most, dim))
+    if full is not None:  # too near to tell apart by the grid
+        edges = edges.unionByName(full.join(full.where("home").groupBy("cell").agg(F.min("id").alias("b")), "cell").select(F.col("id").alias("a"), "b"))
+    rows = cut(clusters.join(components(edges), "id"))  # clusters near to none are done
+    sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
+    small = rows.join(sizes.where(F.col("k") <= block), "part", "left_semi").select("part", "id", "n", "mean", "w")
+    merged = small.transform(together, "part", "id").mapInArrow(_merges(most, dim), _MERGED)
+    owner = cut(_moved(owner, "cluster_id", merged.where("id <> into")))
+    large = rows.join(sizes.where(F.col("k") > block), "part", "left_semi")
+    if large.isEmpty():
+        return owner
+    cells, full = _cells(large.drop("part"), dims, threshold)
+    few = large.select("part").distinct()
+    if full is not None:
+        few = few.join(large.join(full, "id", "left_semi").select("part").distinct(), "part", "left_anti")
+    degree = _in_cells(cells, _pairs(most, dim, True)).groupBy(F.col("a").alias("id")).agg(F.sum("b").alias("pairs"))
+    few = cut(large.join(few, "part", "left_semi").join(degree, "id", "left").groupBy("part").agg((F.sum("pairs") / F.count(F.lit(1))).alias("mean_pairs")).where(F.coalesce("mean_pairs", F.lit(0)) <= most_pairs).select("part"))
+    sparse = large.join(few, "part", "left_semi").drop("part")
+    if not sparse.isEmpty():
+        pairs = _in_cells(cells, _pairs(most, dim, False))
+        moves = _rounds(cut(sparse), pairs.join(sparse.select(F.col("id").alias("a")), "a", "left_semi"), most)
+        owner = owner if moves is None else cut(_moved(owner, "cluster_id", moves))
+    dense = large.join(few, "part", "left_anti")
+    return owner if dense.isEmpty() else cut(_moved(owner, "cluster_id", _compare(dense, dim, most, block)))
 
 
 def typical(points: DataFrame, owner: DataFrame, dim: int, k: int = 3) -> DataFrame:
