@@ -8,11 +8,12 @@ one after another gives, because the linkage is reducible.
 1. Equal vectors are one cluster of as many records.
 2. The sparse graph: a grid over the dimensions of largest variance puts all that is within the threshold of a
    cluster into its cell; there it is linked to what is near, by a tree instead of all pairs. A cell that is too full
-   is cut by further dimensions; what is too full in all of them counts as linked. Nothing is merged before this
-   graph is complete.
+   is cut by further dimensions; what is too full in all of them counts as linked, but for what is apart from a ball
+   at its centre. Nothing is merged before this graph is complete.
 3. Its connected components share no pair within the threshold, so each is clustered on its own: one of at most
    ``block`` clusters in one task, round by round, until no mutual best pair is within the threshold; more than FULL_ROWS
-   without the matrix of their distances.
+   without the matrix of their distances. One of which no two are farther apart than the threshold is one cluster, which
+   a ball around its mean shows without rounds.
 4. In a larger component with few pairs (``most_pairs`` a cluster) Spark rounds merge all mutual best pairs of the
    whole graph and carry its edges over; a merged cluster is never nearer to a third one than its nearer part, so no
    edge can be missing.
@@ -104,9 +105,59 @@ def _chain(d: np.ndarray, n: np.ndarray, most: float, merges: int) -> np.ndarray
     return into
 
 
-def _bests(n: np.ndarray, mean: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Each row's nearest row and its squared distance, without the matrix of all distances."""
-    sq, spread, best, far = (mean**2).sum(1), w / n, np.empty(len(n), np.int64), np.empty(len(n))
+def _walk(n: np.ndarray, mean: np.ndarray, w: np.ndarray, most: float, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """_chain without the matrix, until so few rows are left that can merge: each row's cluster, and those rows. n, mean
+    and w become those of the clusters. A step compares one row with all that are left."""
+    into, rows, centre, chain, steps = np.arange(len(n)), np.arange(len(n)), mean.mean(0), [], []
+    x = mean - centre
+    sq, spread, out, start, count = (x**2).sum(1), w / n, np.zeros(len(n)), 0, len(n)  # out: infinite once merged or done
+    while count > least:
+        if not chain:
+            if count < 0.7 * len(rows):
+                keep = np.flatnonzero(out == 0)
+                rows, x, sq, spread, out, start = rows[keep], x[keep], sq[keep], spread[keep], out[keep], 0
+            start += int((out[start:] == 0).argmax())
+            chain, steps = [start], [np.inf]
+        a = chain[-1]
+        d = x @ (-2 * x[a])
+        d += sq
+        d += spread
+        d += out
+        d[a] = np.inf
+        b = int(d.argmin())
+        far = max(d[b] + sq[a], 0) + spread[a]
+        if len(chain) > 1 and (far >= steps[-1] or b in chain):
+            b, far = chain[-2], steps[-1]
+        if far > most:  # and so it stays, whatever merges
+            out[a], count = np.inf, count - 1
+            chain.pop(), steps.pop()
+        elif len(chain) > 1 and b == chain[-2]:
+            del chain[-2:], steps[-2:]
+            i, j = min(a, b), max(a, b)
+            ri, rj = rows[i], rows[j]
+            both = n[ri] + n[rj]
+            w[ri] += w[rj] + n[ri] * n[rj] / both * ((x[i] - x[j]) ** 2).sum()
+            x[i] += (x[j] - x[i]) * (n[rj] / both)
+            n[ri], into[rj], mean[ri] = both, ri, x[i] + centre
+            sq[i], spread[i], out[j], count = (x[i] ** 2).sum(), w[ri] / both, np.inf, count - 1
+        else:
+            chain.append(b)
+            steps.append(far)
+    for i in range(len(into)):  # a row merges into one before it
+        into[i] = into[into[i]]
+    return into, rows[out == 0]
+
+
+def _one(n: np.ndarray, mean: np.ndarray, w: np.ndarray, most: float) -> bool:
+    """Whether a ball shows that no two rows are farther apart than most, so that all merge whatever the order: the
+    distance of two clusters is the mean of those of their rows."""
+    return 4 * ((mean - mean.mean(0)) ** 2).sum(1).max() + 2 * (w / n).max() <= most * (1 - 1e-9)
+
+
+def _bests(n: np.ndarray, mean: np.ndarray, w: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Each row's nearest row and its squared distance, and whether no two rows are farther apart than most, without the
+    matrix of all distances."""
+    sq, spread, best, far, near = (mean**2).sum(1), w / n, np.empty(len(n), np.int64), np.empty(len(n)), True
     step = max(1, 4_000_000 // len(n))
     for lo in range(0, len(n), step):
         at = np.arange(lo, min(lo + step, len(n)))
@@ -117,10 +168,11 @@ def _bests(n: np.ndarray, mean: np.ndarray, w: np.ndarray) -> tuple[np.ndarray,
         np.maximum(d, 0, out=d)
         d += spread[at][:, None]
         d += spread
+        near = near and bool(d.max() <= most)
         d[at - lo, at] = np.inf
         best[at] = d.argmin(1)
         far[at] = d[at - lo, best[at]]
-    return best, far
+    return best, far, near
 
 
 def link(n: np.ndarray, mean: np.ndarray, w: np.ndarray, most: float, least: int = 1) -> np.ndarray:
@@ -128,6 +180,8 @@ def link(n: np.ndarray, mean: np.ndarray, w: np.ndarray, most: float, least: int
     cluster. All pairs of a round merge at once; where rounds find few, as many rows have one nearest row, pairs merge
     one after another."""
     label = np.arange(len(n))
+    if least == 1 and _one(n, mean, w, most):
+        return np.zeros_like(label)
     live = label.copy()
     n, mean, w = n.astype(float), mean.copy(), w.copy()
     while len(live) > least:
@@ -137,17 +191,24 @@ def link(n: np.ndarray, mean: np.ndarray, w: np.ndarray, most: float, least: int
             best = d.argmin(1)
             far = d[at, best]
         else:
-            best, far = _bests(n[live], mean[live], w[live])
+            best, far, near = _bests(n[live], mean[live], w[live], most)
         a = np.flatnonzero((best[best] == at) & (at < best) & (far <= most))
-        if not len(a) and not full and far.min() <= most:  # rounding hid the nearest pair
-            i = int(far.argmin())
-            a, best[min(i, best[i])] = np.array([min(i, best[i])]), max(i, best[i])
-        if not len(a):
+        if far.min() > most:
             break
         into = np.arange(len(label))
+        if least == 1 and not full and near:
+            into[live] = live[0]
+            return into[label]
         if full and len(a) < 0.05 * len(live):
             into[live] = live[_chain(d, n[live], most, len(live) - least)]
             return into[label]
+        if len(a) < 0.05 * len(live):
+            part = n[live], mean[live], w[live]
+            to, left = _walk(*part, most, max(least, FULL_ROWS))
+            n[live], mean[live], w[live] = part
+            into[live] = live[to]
+            label, live = into[label], live[left]
+            continue
         x, y = live[a], live[best[a]]
         both = n[x] + n[y]
         w[x] += w[y] + n[x] * n[y] / both * ((mean[x] - mean[y]) ** 2).sum(1)
@@ -295,6 +356,27 @@ def _in_cells(cells: list[DataFrame], work: Callable) -> DataFrame:
     return out
 
 
+def _centre(rows: DataFrame, key: str, dim: int) -> DataFrame:
+    return rows.groupBy(key).agg(F.array(*(F.avg(F.col("mean")[d]) for d in range(dim))).alias("centre"))
+
+
+def _stars(full: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """a, b: links of the rows of each cell that is too full, all to one; or, where all rows near its centre are a ball
+    that the others are not within the threshold of, those of the ball to one and the others to another."""
+    far = full.join(_centre(full.where("home"), "cell", dim), "cell").select("cell", "home", "id", F.sqrt(_square("mean", "centre")).alias("far"))
+    ball = far.where(F.col("far") <= threshold / 2).groupBy("cell").agg(F.max("far").alias("ball"))
+    outside = F.coalesce(F.col("far") > (F.col("ball") + threshold) * (1 + 1e-9), F.lit(False))
+    rows = cut(far.join(ball, "cell", "left").select("cell", "home", "id", outside.alias("outside"), (~outside & (F.coalesce("far", F.lit(0.0)) > threshold / 2)).alias("between")))
+    rows = rows.join(rows.groupBy("cell").agg(F.max("between").alias("mixed")), "cell").select("cell", "home", "id", (F.col("outside") & ~F.col("mixed")).alias("outside"))
+    return rows.join(rows.where("home").groupBy("cell", "outside").agg(F.min("id").alias("b")), ["cell", "outside"]).select(F.col("id").alias("a"), "b")
+
+
+def _balls(rows: DataFrame, dim: int, most: float) -> DataFrame:
+    """part of the parts that are one cluster as of _one, of rows (part, id, n, mean, w)."""
+    far = rows.join(_centre(rows, "part", dim), "part").groupBy("part").agg(F.max(_square("mean", "centre")).alias("r"), F.max(F.col("w") / F.col("n")).alias("s"))
+    return far.where(4 * F.col("r") + 2 * F.col("s") <= most * (1 - 1e-9)).select("part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, part: the smallest id that edges (a, b) lead to, of the ids that have edges, by stars in turn."""
     e, before = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()), None
@@ -426,13 +508,18 @@ def cluster(points: DataFrame, dim: int, threshold: float, block: int = 32768, m
     cells, full = _cells(clusters, dims, threshold)
     edges = _in_cells(cells, _trees(most, dim))
     if full is not None:  # too near to tell apart by the grid
-        edges = edges.unionByName(full.join(full.where("home").groupBy("cell").agg(F.min("id").alias("b")), "cell").select(F.col("id").alias("a"), "b"))
+        edges = edges.unionByName(_stars(full, dim, threshold))
     rows = cut(clusters.join(components(edges), "id"))  # clusters near to none are done
     sizes = rows.groupBy("part").agg(F.count(F.lit(1)).alias("k"))
     small = rows.join(sizes.where(F.col("k") <= block), "part", "left_semi").select("part", "id", "n", "mean", "w")
     merged = small.transform(together, "part", "id").mapInArrow(_merges(most, dim), _MERGED)
     owner = cut(_moved(owner, "cluster_id", merged.where("id <> into")))
-    large = rows.join(sizes.where(F.col("k") > block), "part", "left_semi")
+    large = cut(rows.join(sizes.where(F.col("k") > block), "part", "left_semi"))
+    if large.isEmpty():
+        return owner
+    balls = cut(_balls(large, dim, most))
+    owner = cut(_moved(owner, "cluster_id", large.join(balls, "part", "left_semi").select("id", F.col("part").alias("into"))))
+    large = cut(large.join(balls, "part", "left_anti"))
     if large.isEmpty():
         return owner
     cells, full = _cells(large.drop("part"), dims, threshold)
